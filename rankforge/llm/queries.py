@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op2_language_id": "langid",
     "op4_minhash_near_dedup": "neardup",
+    "op7_secret_scan": "secrets",
+    "op9_quality_rules": "quality",
 }
 
 
