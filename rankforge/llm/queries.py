@@ -7,8 +7,10 @@ from importlib import import_module
 MODULES = {
     "op2_language_id": "langid",
     "op4_minhash_near_dedup": "neardup",
+    "op5_best_fit_packing": "packing",
     "op7_secret_scan": "secrets",
     "op9_quality_rules": "quality",
+    "op10_source_mixing": "mixing",
 }
 
 
