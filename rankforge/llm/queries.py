@@ -5,10 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_license_scan": "licenses",
     "op2_language_id": "langid",
+    "op3_token_codes": "dac",
     "op4_minhash_near_dedup": "neardup",
     "op5_best_fit_packing": "packing",
+    "op6_exact_topk_search": "knn",
     "op7_secret_scan": "secrets",
+    "op8_sharding": "sharding",
     "op9_quality_rules": "quality",
     "op10_source_mixing": "mixing",
 }
