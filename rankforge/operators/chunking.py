@@ -28,20 +28,21 @@ def count(text: str) -> int:
 
 
 def window_texts(tokens: Column, size: int, overlap: int) -> Column:
-    """Windows of `size` tokens at every step of size - overlap; a short later window is joined to the one before, and ends the list."""
+    """Windows of `size` tokens at every step of size - overlap; a short later window is joined to the one before, and ends the list.
+
+    `tokens` must be a column, not an expression: lambdas evaluate what they mention for every element.
+    """
     step, n = max(1, size - overlap), F.size(tokens)
     least = max(15, size // 3) if size >= 30 else 0
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    # the first window but the very first that is short; all windows after it are shorter still
-    short = F.filter(starts, lambda s: (s > 0) & (n - s < least))
-    kept = F.when(F.size(short) > 0, F.filter(starts, lambda s: s < F.element_at(short, 1))).otherwise(starts)
-    last = F.element_at(kept, -1)
+    full = F.ceil(n / step).cast("int")
+    short = F.greatest(F.lit(1), F.ceil((n - least + 1) / step).cast("int"))  # the first window but the very first that is too short
+    kept = F.least(full, short)
 
-    def text_of(s: Column) -> Column:
-        own = F.slice(tokens, s + 1, size)
-        return F.array_join(F.when((F.size(short) > 0) & (s == last), F.concat(own, F.slice(tokens, F.element_at(short, 1) + 1, size))).otherwise(own), " ")
+    def text_of(i: Column) -> Column:
+        own = F.slice(tokens, i * step + 1, size)
+        return F.array_join(F.when((i == kept - 1) & (kept < full), F.concat(own, F.slice(tokens, kept * step + 1, size))).otherwise(own), " ")
 
-    return F.transform(kept, text_of)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), kept - 1), text_of)).otherwise(F.array().cast("array<string>"))
 
 
 def _windows(tokens: list[str], size: int) -> list[str]:
@@ -157,11 +158,11 @@ def encoder(name: str | None) -> Callable[[list[str]], list] | None:
 
 
 def chunk_texts(config: Config) -> Column:
-    """The array of chunk texts of column `text`."""
+    """The array of chunk texts of column `text`, for fixed chunks of column `__tokens`."""
     c = config["chunking"]
     size, overlap = c["chunk_size"], c["overlap"]
     if c["strategy"] == "fixed":
-        return window_texts(T.tokens("text"), size, overlap)
+        return window_texts(F.col("__tokens"), size, overlap)
     if c["strategy"] == "recursive":
         return _by_function(lambda t: recursive_texts(t, size, overlap))
     threshold, least, name = c["semantic_similarity_threshold"], c["semantic_min_sentences"], c["semantic_encoder_model"]
@@ -171,6 +172,8 @@ def chunk_texts(config: Config) -> Column:
 def chunk_documents(documents: DataFrame, config: Config) -> DataFrame:
     """One row a chunk; positions count from 0 within the document."""
     carried = [c for c in documents.columns if c not in ("text", "token_count", "position", "chunk_id")]
+    if config["chunking.strategy"] == "fixed":
+        documents = documents.withColumn("__tokens", T.tokens("text"))
     cut = documents.select(*carried, F.posexplode(chunk_texts(config)).alias("position", "text"))
     return cut.select(
         F.concat_ws(":", F.col("document_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), *carried, "position", T.strip("text").alias("text"), T.token_count("text").alias("token_count")

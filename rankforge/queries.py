@@ -111,7 +111,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.token_count("text").alias("n_tokens"))
 
 
-@register(f"SELECT count(*) AS document_count, round(avg(len(regexp_extract_all(text, '{TOKEN}'))), 2) AS average_tokens, sum(len(regexp_extract_all(text, '{TOKEN}'))) AS tokens FROM documents")
+@register(f"SELECT count(*) AS document_count, round(avg(len(regexp_extract_all(text, '{TOKEN}'))), 2) AS average_tokens, sum(len(regexp_extract_all(text, '{TOKEN}')))::BIGINT AS tokens FROM documents")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = documents(spark, sf_dir).select(T.token_count("text").cast("bigint").alias("n"))
     return n.agg(F.count("*").alias("document_count"), F.round(F.avg("n"), 2).alias("average_tokens"), F.sum("n").alias("tokens"))
