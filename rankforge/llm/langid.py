@@ -5,7 +5,7 @@ space), scaled to length one. Document frequencies are counted over all document
 seeded sample of at most `sample` of its labelled documents (the bound of the fit; everything else covers all rows).
 A document takes the language of the nearest centroid. It is rejected if its cosine distance is beyond what its
 evidence allows: SLACK times the QUANTILE of the distances at which training texts with about as many n-grams lie
-from their language's centroids (fewer n-grams lie further away; windows of the training texts stand for short ones).
+from centroids of their language that they had no part in, at least LEAST_RADIUS (fewer n-grams lie further away; windows of the training texts stand for short ones).
 
 Cases: null, empty and word-free texts are rejected with a null language. A null label is not used in fitting. With no
 labelled document at all everything is rejected. Ties go to the first language in order. Texts are read whole,
@@ -26,7 +26,7 @@ from rankforge.llm.shared import pick, seeded
 from rankforge.llm.textbytes import WORD, lowered, utf8
 
 DIMENSIONS, CLUSTERS, SAMPLE, SEED = 4096, 4, 500, 17
-QUANTILE, SLACK = 0.99, 1.15
+QUANTILE, SLACK, LEAST_RADIUS = 0.99, 1.15, 0.55
 WINDOW = 1024
 SIZES = np.array([0, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 1 << 62])  # n-grams, by which radii differ
 BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
@@ -153,15 +153,20 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, clusters: in
         if len(counts):
             v = vectors(counts, idf)
             c, own = k_means(v, clusters)
-            distance, radii = 1 - np.einsum("ij,ij->i", v, c[own]), []
-            text = group.column("text").combine_chunks()
+            text, radii = group.column("text").combine_chunks(), []
+            half = np.arange(len(v)) % 2
+            # distances are taken across halves, as a text lies nearer to centroids that it helped to make
+            across = [(half != h, k_means(v[half == h], clusters)[0]) for h in (0, 1)] if len(v) > 1 else [(half >= 0, c)]
+            distance = np.zeros(len(v))
+            for mine, near in across:
+                distance[mine] = 1 - (v[mine] @ near.T).max(axis=1)
             for top in SIZES[1:]:
-                mine = distance[size > top // 2]
+                seen = distance[size > top // 2]
                 if top <= WINDOW:  # windows of the training texts stand for texts as short as this
                     short, n, _ = windows(text, int(top) // 2)
-                    mine = 1 - (vectors(short, idf) @ c.T).max(axis=1)[n > 0] if len(short) else mine
-                radii.append(float(np.quantile(mine, QUANTILE)) if len(mine) else (radii[-1] if radii else 1.0))
-            radii = np.maximum.accumulate(radii[::-1])[::-1]  # less evidence never has the smaller radius
+                    seen = 1 - (vectors(short, idf) @ c.T).max(axis=1)[n > 0] if len(short) else seen
+                radii.append(float(np.quantile(seen, QUANTILE)) if len(seen) else (radii[-1] if radii else 1.0))
+            radii = np.maximum(np.maximum.accumulate(radii[::-1])[::-1], LEAST_RADIUS)  # less evidence never has the smaller radius
             for j in range(len(c)):
                 out["lang"].append(lang)
                 out["centroid"].append(c[j])

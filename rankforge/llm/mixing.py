@@ -2,14 +2,14 @@
 
 Documents are counted by exact token length and source. A source's budget is its weight's share of the total budget.
 Every length first gives the same share of its documents (whole numbers, then largest remainders while more than WINDOW tokens are
-missing); a bounded-knapsack program over the lengths still available then fits the remaining tokens, exactly where a
-subset of the lengths can, else as closely from below as any subset can. The counts by length are met by the
+missing); a bounded-knapsack program over the documents still available then fits the remaining tokens, from below. If that is not
+exact, it is tried again with the last WINDOW tokens of the budget left to the program, which makes budgets up to WINDOW optimal. The counts by length are met by the
 documents of that length with the least seeded hashes.
 
 Without weights, sources weigh in proportion to tokens ** ALPHA; without a budget it is the largest one that needs no
 source more than once.
 
-Cases: a null source is a source of its own; sources missing from given weights get none. Null and empty texts have no
+Cases: a null source is a source of its own; sources missing from given weights get none, and weights of sources without documents are left out of the shares. Null and empty texts have no
 tokens and are never chosen. Repeated rows count and are chosen as separate documents. An empty table gives an empty
 result. Other columns are passed by mixed() unchanged and not read by mix().
 """
@@ -54,12 +54,9 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take for a budget of tokens."""
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, shared: int, window: int) -> np.ndarray:
     total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    exact = [int(c) * budget for c in counts]  # Python's integers do not overflow
+    exact = [int(c) * shared for c in counts]  # Python's integers do not overflow
     take = np.array([e // total for e in exact], dtype=np.int64)
     rest = budget - int((lengths * take).sum())
     for i in np.argsort([-(e % total) / total for e in exact], kind="stable"):
@@ -74,6 +71,17 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
     return take
 
 
+def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+    """How many documents of each length to take for a budget of tokens."""
+    if budget >= int((lengths * counts).sum()):
+        return counts.copy()
+    take = _fill(lengths, counts, budget, budget, window)
+    if int((lengths * take).sum()) < budget:  # give the program the last `window` tokens to choose freely
+        freer = _fill(lengths, counts, budget, max(0, budget - window), window)
+        take = max(take, freer, key=lambda t: int((lengths * t).sum()))
+    return take
+
+
 def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """(source, n_tokens, take) from lengths(source, n_tokens, n), one row for each source and length."""
     totals = lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens"))
