@@ -97,7 +97,8 @@ def ingest(spark: SparkSession, path: str, recursive: bool = True, root: str | N
     files = scan(spark, path, recursive)
     plain = F.col("file_type").isin("txt", "markdown")
     # text files stay inside the JVM
-    texts = files.where(plain).withColumn("parsed", F.struct(F.decode("content", F.lit("UTF-8")).alias("text"), F.lit(None).cast("int").alias("pages"), F.lit(None).cast("int").alias("paragraphs"), F.lit(None).cast("string").alias("error")))
+    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+    texts = files.where(plain).withColumn("parsed", F.struct(utf8.alias("text"), F.lit(None).cast("int").alias("pages"), F.lit(None).cast("int").alias("paragraphs"), F.when(utf8.isNull(), "UnicodeDecodeError: not UTF-8").alias("error")))
     binary = files.where(~plain).withColumn("parsed", _binary_parsed())
     rows = texts.unionByName(binary)
     local = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
