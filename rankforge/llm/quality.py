@@ -73,7 +73,9 @@ def distance(p: Column, q: Column) -> Column:
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
-    each = F.zip_with(p, q, lambda x, y: part(x / sp, y / sq) + part(y / sq, x / sp))
+    # the totals are arrays beside the counts, since a lambda would compute them anew for every element
+    p, q = (F.zip_with(x, F.array_repeat(s, F.size(x)), lambda v, t: v / t) for x, s in ((p, sp), (q, sq)))
+    each = F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x))
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / 2)))
 
 
