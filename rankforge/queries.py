@@ -38,7 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The documents; a scan of fewer splits than cores is spread over them, as a file of one row group is one task."""
+    scan, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
