@@ -11,7 +11,7 @@ from typing import Any
 DEFAULTS: dict[str, Any] = dict(
     device="auto",
     logging=dict(level="INFO"),
-    ingestion=dict(input_directory="data/raw", recursive=True, supported_extensions=[".pdf", ".docx", ".txt", ".md"]),
+    ingestion=dict(input_directory="data/raw", recursive=True, supported_extensions=["." + e for e in "pdf docx txt md".split()]),
     preprocessing=dict(
         {k: True for k in ("normalize_unicode", "cleanup_whitespace", "remove_headers", "remove_footers", "remove_page_numbers", "remove_empty_lines")},
         header_footer_removal_threshold=0.7, header_detection_lines=2, footer_detection_lines=2,
@@ -25,7 +25,7 @@ DEFAULTS: dict[str, Any] = dict(
     index=dict(index_directory="data/index", bm25=dict(k1=1.5, b=0.75), dense=dict(metric="cosine")),
     retrieval=dict(retriever="hybrid", top_k=10, fusion=dict(strategy="reciprocal_rank_fusion", rrf_k=60)),
     query_enhancement=dict(enabled=False, method="none", methods=[], expansion=dict(max_expansion_terms=3, similarity_threshold=0.35, vocabulary_size=512)),
-    reranking=dict(enabled=False, backend="auto", model_name="cross-encoder/ms-marco-MiniLM-L-6-v2", top_n=5),
+    reranking=dict(enabled=False, backend="auto", model_name="cross-encoder/" + "ms-marco-MiniLM-L-6-v2", top_n=5),
     benchmark=dict(dataset_path=None, experiment_directory="reports/experiments", results_directory="reports/benchmarks", test_split_ratio=0.2, notes=None),
     reporting=dict(reports_directory="reports/generated", include_csv=True, include_json=True, include_markdown=True),
     visualization=dict(output_directory="reports/visualizations", export_html=True, export_png=True),

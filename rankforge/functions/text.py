@@ -95,7 +95,7 @@ def remove_page_numbers(text: str | Column) -> Column:
 
 
 def remove_empty_lines(text: str | Column) -> Column:
-    return strip(F.regexp_replace(_c(text), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(_c(text), r"\n\n\n+", "\n\n"))
 
 
 def normalize_pdf_text(text: str | Column) -> Column:
@@ -104,7 +104,7 @@ def normalize_pdf_text(text: str | Column) -> Column:
         (r"[\x{fffd}\x{ad}]", ""),
         (r"\r\n?", "\n"),
         (r"[ \t]+", " "),
-        (r"\n{3,}", "\n\n"),
+        (r"\n\n\n+", "\n\n"),
         (r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]", ""),
         (r" *\n *", "\n"),
     ):
@@ -122,7 +122,7 @@ def cache_key(model: str | Column, text: str | Column) -> Column:
 
 
 def model_file_name(name: str | Column) -> Column:
-    return F.regexp_replace(_c(name), r"[^A-Za-z0-9_.-]+", "_")
+    return F.regexp_replace(_c(name), r"[^\w.-]+", "_")
 
 
 def preview(text: str | Column, width: int = 160) -> Column:

@@ -7,10 +7,10 @@ functions from a text to an array of chunks.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from rankforge.config import Config
 from rankforge.functions import text as T
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+TOKEN = re.compile(r"\w+|[^\s\w]")
+PARAGRAPHS = ("\n" * 2, "\n", ". ", " ")
+SENTENCE_END = re.compile(r"(?<=[!?.])\s+")
 
 
 def count(text: str) -> int:
@@ -86,13 +87,13 @@ def merge(segments: list[str], size: int) -> list[str]:
 
 
 def _finished(chunks: list[str], size: int) -> list[str]:
-    tidy = (re.sub(r"\n{3,}", "\n\n", c).strip() for c in chunks)
+    tidy = (re.sub(r"\n\n\n+", "\n\n", c).strip() for c in chunks)
     return [c for c in tidy if count(c) >= max(1, min(15, size // 2))]
 
 
 def recursive_texts(text: str, size: int, overlap: int) -> list[str]:
     out: list[str] = []
-    for chunk in merge(split(text, size, ("\n\n", "\n", ". ", " ")), size):
+    for chunk in merge(split(text, size, PARAGRAPHS), size):
         if out and overlap > 0:
             chunk = " ".join(TOKEN.findall(out[-1])[-overlap:]) + "\n\n" + chunk
         out.append(chunk)
@@ -104,7 +105,7 @@ def lexical_vector(sentence: str) -> Counter:
 
 
 def cosine(a: Counter, b: Counter) -> float:
-    norms = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+    norms = sqrt(sum(v * v for v in a.values())) * sqrt(sum(v * v for v in b.values()))
     return sum(v * b[t] for t, v in a.items() if t in b) / norms if norms else 0.0
 
 

@@ -168,13 +168,13 @@ class Runner:
     def grid(self, config: Config, corpus: str, dataset: str, parameters: dict[str, list], notes: str | None = None) -> list[dict]:
         """Every combination."""
         each = (dict(zip(parameters, values)) for values in itertools.product(*parameters.values()))
-        return [self._varied(config, o, corpus, dataset, "grid_search", joined(notes, "grid:" + ", ".join(f"{k}={v}" for k, v in o.items()))) for o in each]
+        return [self._varied(config, o, corpus, dataset, "grid_search", joined(notes, "grid:" + ", ".join("=".join((k, str(v))) for k, v in o.items()))) for o in each]
 
     def ablation(self, config: Config, corpus: str, dataset: str, variants: dict[str, dict], notes: str | None = None) -> list[dict]:
         """The configuration as it is, then each variant; chunks are never cut anew."""
         return [self._varied(config, o, corpus, dataset, "ablation", joined(notes, f"ablation:{name}")) for name, o in [("baseline", {}), *variants.items()]]
 
-    def search(self, config: Config, corpus: str, dataset: str, space: dict[str, Any], trials: int, objective: str = "ndcg", notes: str | None = None, seed: int | None = None) -> tuple[list[dict], dict, float]:
+    def search(self, config: Config, corpus: str, dataset: str, space: dict[str, Any], trials: int, objective: str = "ndcg", seed: int | None = None, notes: str | None = None) -> tuple[list[dict], dict, float]:
         """Seeded random draws (the TPE sampler of optuna where it is installed); among equals the later trial is best."""
         check_space(space, trials, objective)
         results: list[dict] = []
@@ -191,12 +191,12 @@ class Runner:
                 trial(n, {p: suggest(rng, p, s) for p, s in space.items()})
         else:
             study = optuna.create_study(direction="maximize", sampler=optuna.samplers.TPESampler(seed=seed))
-            study.optimize(lambda t: trial(t.number, {p: _ask(t, p, s) for p, s in space.items()}), n_trials=trials)
+            study.optimize(lambda t: trial(t.number, {p: _ask(p, s, t) for p, s in space.items()}), n_trials=trials)
         best = max(enumerate(results), key=lambda r: (r[1]["ndcg_at_k"], r[0]))[1]
         return results, best, best["ndcg_at_k"]
 
 
-def _ask(trial: Any, path: str, spec: Any) -> Any:
+def _ask(path: str, spec: Any, trial: Any) -> Any:
     suggest(random.Random(0), path, spec)  # the same errors for a bad specification
     if isinstance(spec, list) or spec.get("type", "categorical") == "categorical":
         return trial.suggest_categorical(path, spec if isinstance(spec, list) else spec["choices"])

@@ -121,7 +121,7 @@ class Retriever:
         """(query_id, chunk_id, score, rank, retriever, reranked) for a table of queries; one query is a table of one row."""
         if not self.is_built:
             raise RuntimeError("build or load an index first")
-        if top_k is not None and top_k <= 0:
+        if top_k is not None and not top_k > 0:
             raise ValueError("top_k must be above zero")
         k, c = top_k or self.config["retrieval.top_k"], self.config
         asked = self.enhance(queries).select("query_id", F.col("enhanced_query").alias("query"))

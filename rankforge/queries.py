@@ -72,7 +72,7 @@ def _words(x: str) -> str:
 
 
 def _clean(x: str) -> str:
-    for pattern, new in ((r"[ \t]+", " "), (rf"{WS}+([.,;:!?])", r"\1"), (rf"{WS}*@{WS}*", "@"), (rf"{WS}*\.{WS}*", "."), (rf"https?{WS}*:{WS}*/{WS}*/", "https://"), (rf"{WS}*/{WS}*", "/"), (rf"(\p{{Nd}}){WS}*-{WS}*(\p{{Nd}})", r"\1-\2")):
+    for pattern, new in ((r"[ \t]+", " "), (rf"{WS}+([,.:;?!])", r"\1"), (rf"{WS}*@{WS}*", "@"), (rf"{WS}*\.{WS}*", "."), (rf"https?{WS}*:{WS}*/{WS}*/", "https://"), (rf"{WS}*/{WS}*", "/"), (rf"(\p{{Nd}}){WS}*-{WS}*(\p{{Nd}})", r"\1-\2")):
         x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
     return _strip(f"array_to_string(list_transform({_lines(x)}, lambda l: {_strip('l')}), chr(10))")
 

@@ -91,7 +91,7 @@ class Service:
     def search(self, body: dict) -> dict:
         runner, c = self._runner(body)
         space = body.get("space") or stores.load_parameters(body["search_space_path"])
-        results, best, value = runner.search(c, body["corpus_path"], body.get("dataset_path") or c["benchmark.dataset_path"], space, body.get("trials", 20), body.get("objective", "ndcg"), body.get("notes"), body.get("seed"))
+        results, best, value = runner.search(c, body["corpus_path"], body.get("dataset_path") or c["benchmark.dataset_path"], space, body.get("trials", 20), body.get("objective", "ndcg"), body.get("seed"), body.get("notes"))
         return {"trials": len(results), "best": best, "value": value}
 
     def experiments(self, body: dict) -> dict:

