@@ -56,7 +56,7 @@ def pdf_pages(content: bytes) -> list[str]:
 def tidy(page: str) -> str:
     """What normalize_pdf_text does, for one page inside a parser."""
     t = unicodedata.normalize("NFKC", page)
-    for pattern, new in ((r"[\ufffd\xad]", ""), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n\n\n+", "\n\n"), (r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]", ""), (r" *\n *", "\n")):
+    for pattern, new in ((r"[\ufffd\xad]", ""), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n\n\n+", "\n\n"), (r"[\ufeff\u2060\u202a-\u202e\u200b-\u200f]", ""), (r" *\n *", "\n")):
         t = re.sub(pattern, new, t)
     return t.strip()
 
