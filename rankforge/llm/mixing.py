@@ -1,10 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact token length and source. A source's budget is its weight's share of the total budget.
-Every length first gives the same share of its documents (whole numbers, then largest remainders while more than WINDOW tokens are
-missing); a bounded-knapsack program over the documents still available then fits the remaining tokens, from below. If that is not
-exact, it is tried again with the last WINDOW tokens of the budget left to the program, which makes budgets up to WINDOW optimal. The counts by length are met by the
-documents of that length with the least seeded hashes.
+All of the budget but the last WINDOW tokens (two of the longest documents, where these are more) is drawn in proportion: a systematic sample with
+a seeded start over the documents by length, so that every band of lengths gives the same share. A bounded-knapsack program over the documents still
+available, in seeded order, then fits the remaining tokens, from below; budgets up to WINDOW are optimal. The counts by length are met by the documents
+of that length with the least seeded hashes.
 
 Without weights, sources weigh in proportion to tokens ** ALPHA; without a budget it is the largest one that needs no
 source more than once.
@@ -27,17 +27,17 @@ from rankforge.llm.tokens import token_count
 ALPHA, SEED, WINDOW = 0.5, 29, 1 << 16
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
     """How many of each length to take so that the sum is the largest reachable one of at most `budget`.
 
     reached[r] is set by layers: the j-th layer of a length extends only sums first reached by its (j-1)-th, so a sum
-    is traced back through at most `counts` copies.
+    is traced back through at most `counts` copies. Lengths come in seeded order, so that none is preferred for its size.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     first = np.full(budget + 1, -1, dtype=np.int32)
     reached = np.zeros(budget + 1, dtype=bool)
     reached[0] = True
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in np.random.default_rng(seed).permutation(len(lengths)):
         n, at = int(lengths[i]), np.flatnonzero(reached)
         for _ in range(int(counts[i])):
             at = at[at <= budget - n] + n
@@ -54,35 +54,31 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, shared: int, window: int) -> np.ndarray:
-    total = int((lengths * counts).sum())
-    exact = [int(c) * shared for c in counts]  # Python's integers do not overflow
-    take = np.array([e // total for e in exact], dtype=np.int64)
+def drawn(counts: np.ndarray, share: float, seed: int) -> np.ndarray:
+    """A systematic sample with a seeded start over the documents in the order given, as counts: any run of n of them gives n * share, to within one."""
+    ends = np.floor(np.concatenate([[0], np.cumsum(counts)]) * share + np.random.default_rng(seed).random())
+    return np.minimum(np.diff(ends).astype(np.int64), counts)
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, shared: int, seed: int) -> np.ndarray:
+    take = drawn(counts, shared / int((lengths * counts).sum()), seed)
     rest = budget - int((lengths * take).sum())
-    for i in np.argsort([-(e % total) / total for e in exact], kind="stable"):
-        if rest <= window:
-            break
-        if take[i] < counts[i] and lengths[i] <= rest:
-            take[i] += 1
-            rest -= int(lengths[i])
     usable = (take < counts) & (lengths <= rest)
     if rest > 0 and usable.any():
-        take[usable] += knapsack(lengths[usable], (counts - take)[usable], rest)
+        take[usable] += knapsack(lengths[usable], (counts - take)[usable], rest, seed)
     return take
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take for a budget of tokens."""
+def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
+    """How many documents of each ascending length to take for a budget of tokens."""
     if budget >= int((lengths * counts).sum()):
         return counts.copy()
-    take = _fill(lengths, counts, budget, budget, window)
-    if int((lengths * take).sum()) < budget:  # give the program the last `window` tokens to choose freely
-        freer = _fill(lengths, counts, budget, max(0, budget - window), window)
-        take = max(take, freer, key=lambda t: int((lengths * t).sum()))
-    return take
+    # the sample is off its tokens by no more than the longest document, so that it stays within the budget
+    window = max(WINDOW, 2 * int(lengths[-1]))
+    return _fill(lengths, counts, budget, max(0, budget - window), seed)
 
 
-def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA) -> DataFrame:
+def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """(source, n_tokens, take) from lengths(source, n_tokens, n), one row for each source and length."""
     totals = lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens"))
     if weights is None:
@@ -96,7 +92,7 @@ def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = N
 
     def solve(group: pa.Table) -> pa.Table:
         group = group.sort_by("n_tokens")
-        take = fill(group.column("n_tokens").to_numpy(), group.column("n").to_numpy(), group.column("budget")[0].as_py())
+        take = fill(group.column("n_tokens").to_numpy(), group.column("n").to_numpy(), group.column("budget")[0].as_py(), seed)
         return pa.table({"source": group.column("source"), "n_tokens": group.column("n_tokens"), "take": pa.array(take)})
 
     joined = lengths.join(totals, lengths.source.eqNullSafe(totals.name)).drop("name")
@@ -108,7 +104,7 @@ def mix(docs: DataFrame, weights: dict | None = None, budget: int | None = None,
     rows = pick(docs, doc_id="doc_id", source=F.col("source").cast("string"), text="text")
     slim = written(rows.select("doc_id", "source", token_count().alias("n_tokens"), *row_key()).where("n_tokens > 0"), "lengths")
     lengths = slim.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
-    take = written(plan(lengths, weights, budget, alpha), "take").select(F.col("source").alias("s"), F.col("n_tokens").alias("t"), "take")
+    take = written(plan(lengths, weights, budget, alpha, seed), "take").select(F.col("source").alias("s"), F.col("n_tokens").alias("t"), "take")
     place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(seeded(seed, "k1", "k2"), "k1", "k2"))
     ranked = slim.withColumn("place", place)
     chosen = ranked.join(take, ranked.source.eqNullSafe(take.s) & (ranked.n_tokens == take.t)).where("place <= take")
