@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact token length and source. A source's budget is its weight's share of the total budget.
-All of the budget but the last WINDOW tokens (two of the longest documents, where these are more) is drawn in proportion: a systematic sample with
-a seeded start over the documents by length, so that every band of lengths gives the same share. A bounded-knapsack program over the documents still
-available, in seeded order, then fits the remaining tokens, from below; budgets up to WINDOW are optimal. The counts by length are met by the documents
+All of the budget but a window of two of the longest documents is drawn in proportion: a systematic sample with a seeded start over the documents
+by length, so that every band of lengths gives the same share. A bounded-knapsack program over the documents still available, in seeded order, then
+fits the remaining tokens, from below. As long as the fit is not exact, the window grows fourfold, until it is the whole budget, which makes the fit
+optimal, or both WINDOW and 16 of the longest documents. Lengths are divided by their greatest common divisor first. The counts by length are met by the documents
 of that length with the least seeded hashes.
 
 Without weights, sources weigh in proportion to tokens ** ALPHA; without a budget it is the largest one that needs no
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from rankforge.llm.shared import pick, row_key, seeded, written
 from rankforge.llm.tokens import token_count
 
-ALPHA, SEED, WINDOW = 0.5, 29, 1 << 16
+ALPHA, SEED, WINDOW = 0.5, 29, 1 << 22
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
@@ -73,9 +74,19 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
     """How many documents of each ascending length to take for a budget of tokens."""
     if budget >= int((lengths * counts).sum()):
         return counts.copy()
+    unit = int(np.gcd.reduce(lengths))  # sums of lengths are multiples of it
+    lengths, budget = lengths // unit, budget // unit
+    longest, best, most = int(lengths[-1]), None, -1
     # the sample is off its tokens by no more than the longest document, so that it stays within the budget
-    window = max(WINDOW, 2 * int(lengths[-1]))
-    return _fill(lengths, counts, budget, max(0, budget - window), seed)
+    window = 2 * longest
+    while most < budget:
+        take = _fill(lengths, counts, budget, max(0, budget - window), seed)
+        if (tokens := int((lengths * take).sum())) > most:
+            best, most = take, tokens
+        if window >= min(budget, max(WINDOW, 16 * longest)):
+            break
+        window *= 4
+    return best
 
 
 def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

@@ -24,3 +24,19 @@ def test_every_band_of_lengths_gives_its_share(n, slack):
     for a, b in ((0, 300), (300, 1000), (1000, 3000), (3000, 6000), (6000, 10**9)):
         band = (lengths >= a) & (lengths < b)
         assert abs(mean[band].sum() / counts[band].sum() - 0.35) < slack, (a, b)
+
+
+def test_the_fit_is_exact_for_long_documents():
+    take = mixing.fill(np.array([100_000, 150_000, 200_000]), np.array([1, 1, 1]), 300_000)
+    assert take.tolist() == [1, 0, 1]
+    for n, lost in ((10, 0.002), (60, 0.0)):
+        rng = np.random.default_rng(n)
+        lengths = np.sort(rng.choice(np.arange(66_000, 200_000), n, replace=False))
+        budget, counts = int(lengths.sum()) // 2, np.ones(n, dtype=np.int64)
+        tokens = int((lengths * mixing.fill(lengths, counts, budget)).sum())
+        if n == 10:
+            sums = {0}
+            for x in lengths.tolist():
+                sums |= {s + x for s in sums}
+            assert tokens == max(s for s in sums if s <= budget)
+        assert budget * (1 - lost) <= tokens <= budget, n
