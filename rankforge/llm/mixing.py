@@ -8,7 +8,8 @@ optimal, or both WINDOW and 16 of the longest documents. Lengths are divided by
 of that length with the least seeded hashes.
 
 Without weights, sources weigh in proportion to tokens ** ALPHA; without a budget it is the largest one that needs no
-source more than once.
+source more than once, but at least the share LEAST of the tokens of all weighted sources, so that a tiny source does not set the total. A source with
+fewer tokens than its share of a budget is taken whole, and what it lacks is shared among the others by weight.
 
 Cases: a null source is a source of its own; sources missing from given weights get none, and weights of sources without documents are left out of the shares. Null and empty texts have no
 tokens and are never chosen. Repeated rows count and are chosen as separate documents. An empty table gives an empty
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from rankforge.llm.shared import pick, row_key, seeded, written
 from rankforge.llm.tokens import token_count
 
-ALPHA, SEED, WINDOW = 0.5, 29, 1 << 22
+ALPHA, SEED, WINDOW, LEAST = 0.5, 29, 1 << 22, 0.5
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
@@ -89,7 +90,7 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
     return best
 
 
-def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED, least: float = LEAST) -> DataFrame:
     """(source, n_tokens, take) from lengths(source, n_tokens, n), one row for each source and length."""
     totals = lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens"))
     if weights is None:
@@ -97,9 +98,17 @@ def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = N
     else:
         given = lengths.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         totals = totals.join(given, totals.source.eqNullSafe(given.name), "left").drop("name").fillna(0.0, ["weight"])
-    whole = totals.agg(F.sum("weight").alias("all"), F.min(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))).alias("scarcest"))
-    most = F.lit(int(budget)).cast("double") if budget is not None else F.col("scarcest") * F.col("all")
-    totals = totals.crossJoin(whole).select(F.col("source").alias("name"), F.coalesce(F.least("tokens", F.floor(most * F.col("weight") / F.col("all") + 1e-6)), F.lit(0)).cast("bigint").alias("budget"))
+    ratio = F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))
+    whole = totals.agg(F.sum("weight").alias("all"), F.min(ratio).alias("scarcest"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))).alias("corpus"))
+    most = F.lit(int(budget)).cast("double") if budget is not None else F.greatest(F.col("scarcest") * F.col("all"), least * F.col("corpus"))
+    # by tokens a weight, the sources before one are short if it is; the first that can pay its share sets the level for itself and all after it
+    up = Window.orderBy("ratio", "source")
+    before = F.coalesce(F.sum("tokens").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.sum("weight").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    paid = totals.withColumn("ratio", ratio).where("ratio is not null").crossJoin(whole).withColumn("level", (most - before) / after)
+    level = paid.where("level < ratio").agg(F.min_by("level", "ratio").alias("level"))  # null if all sources are taken whole
+    share = F.when(F.col("level").isNull(), F.col("tokens")).otherwise(F.least("tokens", F.floor(F.col("level") * F.col("weight") + 1e-6)))
+    totals = totals.crossJoin(level).select(F.col("source").alias("name"), F.when(F.col("weight") > 0, share).otherwise(0).cast("bigint").alias("budget"))
 
     def solve(group: pa.Table) -> pa.Table:
         group = group.sort_by("n_tokens")
@@ -110,12 +119,12 @@ def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = N
     return joined.groupBy("source").applyInArrow(solve, "source string, n_tokens bigint, take bigint").where("take > 0")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED, least: float = LEAST) -> DataFrame:
     """(doc_id, source, n_tokens, k1, k2) of the chosen documents."""
     rows = pick(docs, doc_id="doc_id", source=F.col("source").cast("string"), text="text")
     slim = written(rows.select("doc_id", "source", token_count().alias("n_tokens"), *row_key()).where("n_tokens > 0"), "lengths")
     lengths = slim.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
-    take = written(plan(lengths, weights, budget, alpha, seed), "take").select(F.col("source").alias("s"), F.col("n_tokens").alias("t"), "take")
+    take = written(plan(lengths, weights, budget, alpha, seed, least), "take").select(F.col("source").alias("s"), F.col("n_tokens").alias("t"), "take")
     place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(seeded(seed, "k1", "k2"), "k1", "k2"))
     ranked = slim.withColumn("place", place)
     chosen = ranked.join(take, ranked.source.eqNullSafe(take.s) & (ranked.n_tokens == take.t)).where("place <= take")

@@ -40,3 +40,22 @@ def test_the_fit_is_exact_for_long_documents():
                 sums |= {s + x for s in sums}
             assert tokens == max(s for s in sums if s <= budget)
         assert budget * (1 - lost) <= tokens <= budget, n
+
+
+def budgets(spark, tokens, **options):
+    lengths = spark.createDataFrame([(s, 1, n) for s, n in tokens.items()], "source string, n_tokens bigint, n bigint")
+    return {r.source: r.take for r in mixing.plan(lengths, **options).collect()}
+
+
+def test_a_tiny_source_does_not_set_the_total(spark):
+    got = budgets(spark, {"big": 5_000_000, "half": 1_250_000, None: 5})
+    assert got[None] == 5 and abs(sum(got.values()) - 0.5 * 6_250_005) <= 2
+    assert got["half"] == 1_041_665 and got["big"] == 2_083_331  # weights 2 : 1 for what the tiny source leaves
+
+
+def test_deficits_of_short_sources_go_to_the_others(spark):
+    tokens = {"a": 100, "b": 1000, "c": 10_000}
+    assert budgets(spark, tokens, weights={"a": 1, "b": 1, "c": 2}, budget=2800) == {"a": 100, "b": 900, "c": 1800}
+    assert budgets(spark, tokens, weights={"a": 1, "b": 1, "c": 2}, budget=5100) == {"a": 100, "b": 1000, "c": 4000}
+    assert budgets(spark, tokens, weights={"a": 1, "b": 1}, budget=10**6) == {"a": 100, "b": 1000}
+    assert budgets(spark, {"a": 4000, "b": 1000}) == {"a": 2000, "b": 1000}  # as before where no source is tiny
