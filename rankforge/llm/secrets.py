@@ -7,7 +7,8 @@ its batch, so that the corpus is read once and nothing is shuffled.
 
 Cases: null and empty texts have no findings. Texts are searched whole. Repeated rows are reported once each. An empty
 table gives an empty result. Other columns are not read by scan() and pass redact() unchanged, but for n_chars
-of the documents that change. Matches of different rules may overlap; redact() covers their union.
+of the documents that change. Matches of different rules may overlap; redact() covers their union. A private key is matched
+with its body and END line; where that line is missing, to the end of its base64 lines and the word after them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ from rankforge.llm.textbytes import each_part
 from rankforge.llm.trigrams import Index, candidates, trigram_query, trigrams_of
 
 WS = r"[ \t\r\n]"
+LABEL = r"(?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+GAP, BASE64 = r"(?:[ \t\r\n>#*\"',]|\\[nr])", "[0-9A-Za-z+/]"
+ARMOUR = rf"(?:{GAP}*(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*)*"
+# through the END line if no other line of five dashes comes first, else to the end of the base64 lines
+KEY_BODY = rf"(?:[^-]*(?:-{{1,4}}[^-]+)*-----END {LABEL}|{ARMOUR}{GAP}*{BASE64}{{16,}}={{0,2}}(?:{GAP}+{BASE64}{{16,}}={{0,2}})*(?:{GAP}+=?{BASE64}+={{0,2}})?)?"
 RULES = {
     "aws_access_key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b",
@@ -34,7 +40,7 @@ RULES = {
     "npm_token": r"\bnpm_[0-9A-Za-z]{36}\b",
     "sendgrid_key": r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}",
     "twilio_key": r"\bSK[0-9a-f]{32}\b",
-    "private_key": r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY(?: BLOCK)?-----",
+    "private_key": rf"-----BEGIN {LABEL}{KEY_BODY}",
     "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,1000}\.eyJ[0-9A-Za-z_-]{8,1000}\.[0-9A-Za-z_-]{8,1000}",
     "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^ \t\r\n/:@]{1,100}:[^ \t\r\n/:@]{3,100}@",
     "assigned_secret": rf"(?i)\b(?:[0-9a-z]{{1,30}}[_-])?(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']?{WS}{{0,3}}(?:=|:|:=|=>){WS}{{0,3}}[\"']?[0-9A-Za-z_+/.=-]{{16,512}}[\"']?",
