@@ -8,7 +8,8 @@ its batch, so that the corpus is read once and nothing is shuffled.
 Cases: null and empty texts have no findings. Texts are searched whole. Repeated rows are reported once each. An empty
 table gives an empty result. Other columns are not read by scan() and pass redact() unchanged, but for n_chars
 of the documents that change. Matches of different rules may overlap; redact() covers their union. A private key is matched
-with its body and END line; where that line is missing, to the end of its base64 lines and the word after them.
+with its body and END line; where that line is missing, to the end of its base64 lines and the word after them. Tokens, values and names have no upper bound on their length; a name's segments joined by "_" and one joined by "-" are part
+of the match, and so are all segments after its keyword.
 """
 
 from __future__ import annotations
@@ -32,18 +33,18 @@ ARMOUR = rf"(?:{GAP}*(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageI
 KEY_BODY = rf"(?:[^-]*(?:-{{1,4}}[^-]+)*-----END {LABEL}|{ARMOUR}{GAP}*{BASE64}{{16,}}={{0,2}}(?:{GAP}+{BASE64}{{16,}}={{0,2}})*(?:{GAP}+=?{BASE64}+={{0,2}})?)?"
 RULES = {
     "aws_access_key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b",
-    "gitlab_token": r"\bglpat-[0-9A-Za-z_-]{20,255}",
-    "slack_token": r"\bxox[abeprs]-[0-9A-Za-z-]{10,255}",
+    "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,}\b",
+    "gitlab_token": r"\bglpat-[0-9A-Za-z_-]{20,}",
+    "slack_token": r"\bxox[abeprs]-[0-9A-Za-z-]{10,}",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,255}\b",
+    "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "npm_token": r"\bnpm_[0-9A-Za-z]{36}\b",
     "sendgrid_key": r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}",
     "twilio_key": r"\bSK[0-9a-f]{32}\b",
     "private_key": rf"-----BEGIN {LABEL}{KEY_BODY}",
-    "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,1000}\.eyJ[0-9A-Za-z_-]{8,1000}\.[0-9A-Za-z_-]{8,1000}",
-    "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^ \t\r\n/:@]{1,100}:[^ \t\r\n/:@]{3,100}@",
-    "assigned_secret": rf"(?i)\b(?:[0-9a-z]{{1,30}}[_-])?(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']?{WS}{{0,3}}(?:=|:|:=|=>){WS}{{0,3}}[\"']?[0-9A-Za-z_+/.=-]{{16,512}}[\"']?",
+    "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^ \t\r\n/:@]*:[^ \t\r\n/:@]{3,}@",
+    "assigned_secret": rf"(?i)\b(?:[0-9a-z]*-)?(?:[0-9a-z]*_)*(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)(?:[_-][0-9a-z]*)*[\"']?{WS}{{0,3}}(?:=|:|:=|=>){WS}{{0,3}}[\"']?[0-9A-Za-z_+/.=-]{{16,}}[\"']?",
 }
 
 

@@ -89,3 +89,19 @@ def test_private_keys_are_masked_whole(spark):
     documents = docs.toPandas()  # noqa: F841, read by the SQL
     want = sorted(duckdb.sql(f"SELECT doc_id, occurrence, secret_chars, sha256 FROM ({secrets.ORACLE_SQL}) WHERE rule = 'private_key'").fetchall())
     assert got == want
+
+
+def test_long_secrets_and_names_of_many_segments(spark):
+    value = base64(40, 5).replace("+", "x").replace("/", "y")
+    long = value * 60
+    whole = [f"AWS_SECRET_ACCESS_KEY={value}", f'aws_secret_access_key = "{value}"', f"MY_APP_API_KEY={value}", f"DB_PROD_PASSWORD={value}", f"secret_key={value}", f"API_KEY_V2_PROD={value}", f"_db__password_: {value}", f"token={long}"]
+    whole += [f"eyJ{long}.eyJ{long}.{long}", f"redis://:{value}@", f"https://{long}:{long}@", f"ghp_{long}", f"glpat-{long}", f"xoxb-{long}", f"sk_live_{long}"]
+    assert redacted(spark, [f"a {x} z" for x in whole]) == ["a [secret] z"] * len(whole)
+    assert redacted(spark, [f"my-app-{x} z" for x in whole[:6]]) == ["my-[secret] z"] * 6
+    plain = ["the secret of a token is passwords", "http://host:80/path@", "redis://host:6379/0", "secret_key = short"]
+    assert redacted(spark, plain) == plain
+    texts = [f"{before}{x} z" for x in whole for before in ("a ", "my-app-", "a_b-")] + plain
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r.doc_id, r.rule, r.occurrence, r.secret_chars, r.sha256) for r in secrets.scan(documents).collect())
+    documents = documents.toPandas()
+    assert got == sorted(duckdb.sql(f"SELECT doc_id, rule, occurrence, secret_chars, sha256 FROM ({secrets.ORACLE_SQL})").fetchall())
