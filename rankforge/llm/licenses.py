@@ -43,6 +43,7 @@ TEMPLATES = {
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "all-rights-reserved": "All rights reserved.",
     "proprietary": "Proprietary and confidential. All rights reserved. Unauthorized copying of this file is strictly prohibited.",
 }
 

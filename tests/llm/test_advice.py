@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from rankforge.llm import mixing, secrets
+from rankforge.llm import licenses, mixing, secrets
 
 
 def lognormal(n, seed=11):
@@ -105,3 +105,11 @@ def test_long_secrets_and_names_of_many_segments(spark):
     got = sorted((r.doc_id, r.rule, r.occurrence, r.secret_chars, r.sha256) for r in secrets.scan(documents).collect())
     documents = documents.toPandas()
     assert got == sorted(duckdb.sql(f"SELECT doc_id, rule, occurrence, secret_chars, sha256 FROM ({secrets.ORACLE_SQL})").fetchall())
+
+
+def test_every_kind_of_license_line_is_found(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text")
+    lines = {(r.doc_id, i) for r in docs.collect() for i, line in enumerate(r.text.split("\n"), 1) if re.search(r"(?i)\blicen[sc]ed?\b|rights reserved|copyright|public domain", line)}
+    got = {(r.doc_id, r.block) for r in licenses.scan(docs).collect()}
+    assert len(lines) > 300 and lines == got
+    assert [r.license for r in licenses.scan(spark.createDataFrame([(1, "(c) 2020 X. All rights reserved.")], "doc_id int, text string")).collect()] == ["all-rights-reserved"]
