@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a statement; both are sets of words (runs of ASCII letters and digits,
+A block is a line of a document (the registered query) or a paragraph, a run of non-blank lines, which holds the statements that are wrapped over
+several lines; a template is a statement. Both are sets of words (runs of ASCII letters and digits,
 lower case). The join finds every block that holds at least `threshold` of a template's words. Words are ordered by
 the number of blocks of the whole corpus that hold them, rarest first. With c the overlap a template needs:
 length filter: the block has at least c of the templates' words; prefix filter: some word is among the first |T| - c + 1 of the template and
@@ -8,7 +9,7 @@ the first |B| - c + 1 of the block; positional filter: the words after the first
 that pass are verified by their exact overlap. Words outside all templates cannot match and are left out of the blocks, which keeps
 every filter exact.
 
-Cases: null and empty texts have no blocks. Lines are numbered from 1 and compared whole, whatever their length.
+Cases: null and empty texts have no blocks. Lines, or paragraphs, are numbered from 1 and compared whole, whatever their length.
 Repeated rows are reported once each; blocks that tie on several templates are reported for each. An empty table gives
 an empty result. Other columns are not read.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from rankforge.llm.shared import pick
 
 THRESHOLD = 0.8
+LINES, PARAGRAPHS = r"\n", r"\n(?:[^\p{L}\p{N}\n]*\n)+"  # what separates blocks; a line of marks alone is blank
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-notice": "Licensed under the MIT License.",
@@ -56,8 +58,8 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, block, license, overlap, containment) of every block and template that meet the threshold."""
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, between: str = LINES) -> DataFrame:
+    """(doc_id, block, license, overlap, containment) of every block and template that meet the threshold; blocks are lines or, between PARAGRAPHS, paragraphs."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = {k: words_of(v) for k, v in templates.items() if words_of(v)}
@@ -66,7 +68,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     least = min(needed(len(w), threshold) for w in sets.values())
     vocabulary = sorted(set().union(*sets.values()))
     known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.posexplode(F.split("text", between)).alias("line", "t"))
     # the intersection is a set, and only blocks that can reach some template's overlap go on
     blocks = lines.select("doc_id", (F.col("line") + 1).alias("block"), F.array_intersect(F.split(F.lower("t"), "[^a-z0-9]+"), known).alias("words"))
 

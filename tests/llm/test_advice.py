@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import textwrap
 
 import duckdb
 import numpy as np
@@ -113,3 +114,21 @@ def test_every_kind_of_license_line_is_found(spark, sf_dir):
     got = {(r.doc_id, r.block) for r in licenses.scan(docs).collect()}
     assert len(lines) > 300 and lines == got
     assert [r.license for r in licenses.scan(spark.createDataFrame([(1, "(c) 2020 X. All rights reserved.")], "doc_id int, text string")).collect()] == ["all-rights-reserved"]
+
+
+def test_wrapped_notices_are_found_in_paragraphs(spark):
+    names = ["mit-grant", "bsd-3-clause", "gpl-2.0", "isc", "apache-2.0-use"]
+    marks = ["", "# ", " * ", "// ", "> "]
+    texts = []
+    for name, mark in zip(names, marks):
+        body = textwrap.wrap(licenses.TEMPLATES[name], 70)
+        texts.append("\n".join(mark + x for x in ["Copyright (c) 2020 Имя", "", *body, "", "other text"]).replace("\n", "\r\n" if mark == "# " else "\n"))
+    docs = spark.createDataFrame([*enumerate(texts), (9, None), (10, ""), (11, "\n\n"), (12, "слово\nслово")], "doc_id int, text string")
+    got = [(r.doc_id, r.block, r.license, r.containment) for r in licenses.scan(docs, between=licenses.PARAGRAPHS).orderBy("doc_id").collect()]
+    assert [g for g in got if g[2] in names] == [(i, 2, name, 1.0) for i, name in enumerate(names)]
+    words = {k: set(licenses.words_of(v)) for k, v in licenses.TEMPLATES.items()}
+    want = []
+    for i, text in enumerate(texts):
+        for b, block in enumerate(re.split(r"\n(?:[^\w\n]*\n)+", text), 1):
+            want += [(i, b, k, len(w & set(licenses.words_of(block))) / len(w)) for k, w in words.items() if len(w & set(licenses.words_of(block))) >= licenses.needed(len(w), licenses.THRESHOLD)]
+    assert sorted(got) == sorted(want)
