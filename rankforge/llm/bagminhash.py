@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 
-from rankforge.llm.textbytes import BASE, U, mix, word_hashes, word_spans
+from rankforge.llm.textbytes import BASE, ROWS, U, hashed_words, mix
 
 GOLD = U(0x9E3779B97F4A7C15)
+ELEMENTS = 1 << 19  # elements whose points arrive together
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of every shingle of `size` words (a shorter text is one shingle), and two hashes of each row's words."""
-    starts, ends, rows = word_spans(data, offsets)
-    h = word_hashes(data, starts, ends)
+    h, rows = hashed_words(data, offsets)
     n = len(offsets) - 1
     first = np.searchsorted(rows, np.arange(n))
     counts = np.diff(np.append(first, len(rows)))
@@ -47,7 +47,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def counted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, 48-bit hash and count of the distinct elements of each row; at most 65,536 rows."""
+    """Row, 48-bit hash and count of the distinct elements of each row; rows are numbered below ROWS."""
+    if len(rows) and rows.max() >= ROWS:
+        raise ValueError("too many rows in one part")
     key = np.sort((rows.astype(np.uint64) << U(48)) | (hashes >> U(16)))
     if not len(key):
         return rows[:0], key, np.zeros(0, dtype=np.int64)
@@ -95,8 +97,10 @@ def signatures(n: int, rows: np.ndarray, elements: np.ndarray, weights: np.ndarr
     todo, reach = total > 0, np.log(m) + 3.0
     while todo.any():
         until = np.where(todo, m * reach / np.maximum(total, 1), 0.0)
-        mine = todo[rows]
-        _arrive(sig, rows[mine], elements[mine], weights[mine], until)
+        mine = np.flatnonzero(todo[rows])
+        for a in range(0, len(mine), ELEMENTS):
+            part = mine[a : a + ELEMENTS]
+            _arrive(sig, rows[part], elements[part], weights[part], until)
         todo &= ~np.isfinite(sig).all(axis=1)
         reach *= 2
     return sig

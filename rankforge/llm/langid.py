@@ -32,16 +32,20 @@ SIZES = np.array([0, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 1 << 62]
 BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 
 
+def collapsed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with every run of other bytes than words as one space, their rows, and the word bytes of each row."""
+    word = WORD[data]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    keep = np.ones(len(data), dtype=bool)
+    keep[1:] = word[1:] | word[:-1] | (row[1:] != row[:-1])
+    return np.where(word, data, 32)[keep].astype(np.uint8), row[keep], np.bincount(row[word], minlength=len(offsets) - 1)
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, DIMENSIONS) counts, and the number of n-grams and of word bytes of each row."""
     n = len(offsets) - 1
-    word = WORD[data]
-    b = np.where(word, data, 32).astype(np.uint32)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    letters = np.bincount(row[word], minlength=n)
-    keep = np.ones(len(b), dtype=bool)
-    keep[1:] = word[1:] | word[:-1] | (row[1:] != row[:-1])  # a run of other bytes counts as one space
-    b, row = b[keep], row[keep]
+    b, row, letters = collapsed(data, offsets)
+    b = b.astype(np.uint32)
     flat = np.zeros(n * DIMENSIONS)
     for size in (2, 3):
         if len(b) >= size:
@@ -64,6 +68,17 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)[:, None]
 
 
+def _summed(data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What grams() gives for one long text, from pieces that begin with the last two bytes kept of the piece before."""
+    ends = lambda x: np.array([0, len(x)])
+    total, tail = grams(data[:0], ends(data[:0])), data[:0]
+    for at in range(0, len(data), most):
+        piece = np.concatenate([tail, data[at : at + most]])
+        total = tuple(x + y - z for x, y, z in zip(total, grams(piece, ends(piece)), grams(tail, ends(tail))))
+        tail = collapsed(piece, ends(piece))[0][-2:]
+    return total
+
+
 def blocks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """First and last row, counts, n-grams and word bytes of blocks that fit in memory; a long text is cut and summed."""
     data, offsets = utf8(lowered(text))
@@ -72,15 +87,7 @@ def blocks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
         b = max(a + 1, min(a + BATCH_ROWS, int(np.searchsorted(offsets, offsets[a] + BATCH_BYTES, side="right")) - 1))
         b = min(b, n)
         if b == a + 1 and offsets[b] - offsets[a] > 4 * BATCH_BYTES:
-            total = None
-            at, end = int(offsets[a]), int(offsets[b])
-            while at < end:
-                upto = min(end, at + 4 * BATCH_BYTES)
-                piece = data[max(at - 2, int(offsets[a])) : upto]
-                more = grams(piece, np.array([0, len(piece)]))
-                total = more if total is None else tuple(x + y for x, y in zip(total, more))
-                at = upto
-            yield a, b, *total
+            yield a, b, *_summed(data[offsets[a] : offsets[b]], 4 * BATCH_BYTES)
         else:
             yield a, b, *grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         a = b

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm.shared import pick, written
-from rankforge.llm.textbytes import each_part, hash_word, lowered, word_hashes, word_spans
+from rankforge.llm.textbytes import each_part, hash_word, hashed_words, lowered, pieces
 
 COMMON = {
     "en": "the of and to in is that for on with as was be by at this from or an are it a he not have",
@@ -29,7 +29,6 @@ COMMON = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le",
 }
 COMMON = {k: v.split() for k, v in COMMON.items()}
-WIDTH = max(map(len, COMMON.values()))
 MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 200, 40, 0.25, 0.35
 CLASS = np.full(256, 5, dtype=np.int64)
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[[9, 10, 13, 32]], CLASS[0xC0:] = 0, 1, 2, 3, 4
@@ -46,12 +45,14 @@ def _histograms(batches: Iterator[pa.RecordBatch], common: dict[str, list[str]])
         n = batch.num_rows
         chars, seen, total = np.zeros((n, 7), dtype=np.int64), np.zeros((n, len(words)), dtype=np.int64), np.zeros(n, dtype=np.int64)
         for a, b, data, offsets in each_part(batch.column("text")):
+            if b - a == 1:  # perhaps a long text
+                chars[a] = sum(np.bincount(CLASS[data[x:y]], minlength=7) for x, y in pieces(data))
+                continue
             row = np.repeat(np.arange(b - a), np.diff(offsets))
             chars[a:b] = np.bincount(row * 7 + CLASS[data], minlength=(b - a) * 7).reshape(-1, 7)
         for a, b, data, offsets in each_part(lowered(batch.column("text"))):
-            starts, ends, rows = word_spans(data, offsets)
+            h, rows = hashed_words(data, offsets)
             total[a:b] = np.bincount(rows, minlength=b - a)
-            h = word_hashes(data, starts, ends)
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[k] == h
             seen[a:b] = np.bincount(rows[hit] * len(words) + k[hit], minlength=(b - a) * len(words)).reshape(-1, len(words))

@@ -6,8 +6,8 @@ searched with the expression itself. Rules without mandatory trigrams search eve
 its batch, so that the corpus is read once and nothing is shuffled.
 
 Cases: null and empty texts have no findings. Texts are searched whole. Repeated rows are reported once each. An empty
-table gives an empty result. Other columns are not read by scan() and pass redact() unchanged, but for n_chars
-of the documents that change. Matches of different rules may overlap; redact() covers their union. A private key is matched
+table gives an empty result. A null doc_id stays null. Other columns are not read by scan() and pass redact() unchanged, but for n_chars
+of the documents that change, if it is of a number or string type. Matches of different rules may overlap; redact() covers their union. A private key is matched
 with its body and END line; where that line is missing, to the end of its base64 lines and the word after them. Tokens, values and names have no upper bound on their length; a name's segments joined by "_" and one joined by "-" are part
 of the match, and so are all segments after its keyword.
 """
@@ -18,7 +18,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from rankforge.llm.shared import pick
@@ -26,7 +28,7 @@ from rankforge.llm.textbytes import each_part
 from rankforge.llm.trigrams import Index, candidates, trigram_query, trigrams_of
 
 WS = r"[ \t\r\n]"
-LABEL = r"(?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+LABEL = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 GAP, BASE64 = r"(?:[ \t\r\n>#*\"',]|\\[nr])", "[0-9A-Za-z+/]"
 ARMOUR = rf"(?:{GAP}*(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*)*"
 # through the END line if no other line of five dashes comes first, else to the end of the base64 lines
@@ -36,15 +38,15 @@ RULES = {
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,}\b",
     "gitlab_token": r"\bglpat-[0-9A-Za-z_-]{20,}",
     "slack_token": r"\bxox[abeprs]-[0-9A-Za-z-]{10,}",
-    "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
+    "google_api_key": r"\bAIza[0-9A-Za-z_-]{35,}",
     "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "npm_token": r"\bnpm_[0-9A-Za-z]{36}\b",
-    "sendgrid_key": r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}",
+    "sendgrid_key": r"\bSG\.[0-9A-Za-z_-]{22,}\.[0-9A-Za-z_-]{43,}",
     "twilio_key": r"\bSK[0-9a-f]{32}\b",
     "private_key": rf"-----BEGIN {LABEL}{KEY_BODY}",
     "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^ \t\r\n/:@]*:[^ \t\r\n/:@]{3,}@",
-    "assigned_secret": rf"(?i)\b(?:[0-9a-z]*-)?(?:[0-9a-z]*_)*(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)(?:[_-][0-9a-z]*)*[\"']?{WS}{{0,3}}(?:=|:|:=|=>){WS}{{0,3}}[\"']?[0-9A-Za-z_+/.=-]{{16,}}[\"']?",
+    "url_password": r"\b[0-9A-Za-z_]+://[^ \t\r\n/:@]*:[^ \t\r\n/:@]{3,}@",
+    "assigned_secret": rf"(?i)\b(?:[0-9a-z]*-)?(?:[0-9a-z]*_)*(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)(?:[_-][0-9a-z]*)*[\"']?{WS}*(?:=|:|:=|=>){WS}*[\"']?[0-9A-Za-z_+/.=-]{{16,}}[\"']?",
 }
 
 
@@ -102,11 +104,12 @@ def _redact(batches: Iterator[pa.RecordBatch], rules: dict[str, str], mask: str)
                 new[i] = "".join([*out, text[end:]])
             columns = list(batch.columns)
             for k, name in enumerate(batch.schema.names):
-                if name in ("text", "n_chars"):
-                    values = columns[k].to_pylist()
-                    for i, text in new.items():
-                        values[i] = text if name == "text" else len(text)
-                    columns[k] = pa.array(values, type=batch.schema.field(k).type)
+                kind = batch.schema.field(k).type
+                if name == "text" or name == "n_chars" and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_decimal(kind) or pa.types.is_string(kind)):
+                    changed = np.zeros(batch.num_rows, dtype=bool)
+                    changed[list(new)] = True
+                    values = pa.array([new[i] if name == "text" else len(new[i]) for i in sorted(new)])
+                    columns[k] = pc.replace_with_mask(columns[k], pa.array(changed), values.cast(kind))
             batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
         yield batch
 

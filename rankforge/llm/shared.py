@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1 << 20  # of keys and a few numbers: some 60 MB in memory
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -50,6 +51,11 @@ def clean() -> None:
             pass
 
 
+def narrow(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast in a join if it has at most `rows` rows; a larger one meets its partner by a shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named inputs under private names, so that no other column of df can clash."""
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])

@@ -17,6 +17,7 @@ _rng = np.random.Generator(np.random.PCG64(20240517))
 BYTE_HASH = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE, WORD = 0x9E3779B97F4A7C15 | 1, np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+ROWS, PIECE = 1 << 15, 1 << 21  # rows of a part, bytes of a part and of a piece of a long text
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -57,21 +58,40 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` bytes each, or of one row."""
+def parts(offsets: np.ndarray, most: int, rows: int = ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `rows` rows and `most` bytes each, or of one row."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
-        yield a, min(b, n)
+        b = min(b, n, a + rows)
+        yield a, b
         a = b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, most: int = PIECE, word: np.ndarray = WORD) -> Iterator[tuple[int, int]]:
+    """Byte ranges of one text of about `most` bytes, cut after a byte outside words; a longer word stays whole."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + most)
+        if b < n:
+            outside = np.flatnonzero(~word[data[a:b]])
+            if len(outside):
+                b = a + int(outside[-1]) + 1
+            while b < n and word[data[b - 1]] and word[data[b]]:
+                more = np.flatnonzero(~word[data[b : b + most]])
+                b = b + int(more[0]) if len(more) else min(n, b + most)
+                if len(more):
+                    break
+        yield a, b
+        a = b
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of all words; rows' ends break words."""
     if not len(data):
         return (np.zeros(0, dtype=np.int64),) * 3
     is_word = np.zeros(len(data) + 2, dtype=bool)
-    is_word[1:-1] = WORD[data]
+    is_word[1:-1] = word[data]
     edge = is_word[1:] != is_word[:-1]
     cuts = offsets[1:-1]
     cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
@@ -96,6 +116,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h)
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and their rows. A long text goes by pieces, so that only its words' hashes are held whole."""
+    if len(offsets) > 2 or len(data) <= PIECE:
+        starts, ends, rows = word_spans(data, offsets)
+        return word_hashes(data, starts, ends), rows
+    found = [word_hashes(data[a:b], *word_spans(data[a:b], np.array([0, b - a]))[:2]) for a, b in pieces(data)]
+    h = np.concatenate(found)
+    return h, np.zeros(len(h), dtype=np.int64)
+
+
 def hash_word(word: str) -> int:
     """The hash that word_hashes gives one word."""
     data = np.frombuffer(word.encode(), dtype=np.uint8)
@@ -106,7 +136,7 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
 
-def each_part(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def each_part(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row, bytes and offsets of every part of a column."""
     data, offsets = utf8(column)
     for a, b in parts(offsets, most):
