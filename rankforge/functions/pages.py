@@ -39,9 +39,9 @@ def _without(lines: list[str], count: int) -> list[str]:
 
 def strip_edges(text: str, headers: bool = True, footers: bool = True, threshold: float = 0.7) -> str:
     """The edge is compared by its long lines, but as many non-blank lines go as it is deep; once an edge repeats, every page loses its trailing white space."""
-    if "\f" not in text:
-        return text
     pages = [p.splitlines() for p in text.split("\f")]
+    if len(pages) < 2:
+        return text
     keys = [[re.sub(r"\s+", " ", line).strip().lower() for line in p] for p in pages]
     required = max(2, int(len(pages) * threshold))
     backward = [k[::-1] for k in keys]
