@@ -1,63 +1,89 @@
-"""Okapi BM25 as tables: an inverted index, and batches of queries answered by one join.
+"""Okapi BM25 as tables: a table of chunks with their terms, and batches of queries answered in one pass over it.
 
 Score: the sum over the query's tokens, repeated ones included, of idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)). idf is
 ln(N - n + 0.5) - ln(n + 0.5); where that is negative it is EPSILON times the mean over the vocabulary. All chunks are
 ranked: those without a query term score 0 and fill up to k, ahead of negative scores. Ties keep the chunks' order.
+
+The postings stay with their chunks, so that building shuffles nothing but the vocabulary's counts, and a search adds up a chunk's score
+where the chunk lies: every task keeps the k best of its chunks for each query, and only these meet in a shuffle. The query terms, which
+go to all tasks, are those of at most QUERIES queries; more are answered in several passes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions import text as T
 
-EPSILON = 0.25
+EPSILON, QUERIES, HITS = 0.25, 4096, 1 << 21
 
 
 @dataclass
 class Bm25Index:
-    """postings(term, chunk_id, ordinal, tf, dl), terms(term, df, idf), corpus(n, avgdl) of one row, chunks(chunk_id, ordinal)."""
+    """chunks(chunk_id, ordinal, dl, terms, tfs), terms(term, df, idf), corpus(n, avgdl) of one row."""
 
-    postings: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     corpus: DataFrame
-    chunks: DataFrame
 
-    TABLES = ("postings", "terms", "corpus", "chunks")
+    TABLES = ("chunks", "terms", "corpus")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, ordinal, tf, dl)."""
+        return self.chunks.select("chunk_id", "ordinal", "dl", F.inline(F.arrays_zip("terms", "tfs"))).select(F.col("terms").alias("term"), "chunk_id", "ordinal", F.col("tfs").alias("tf"), "dl")
 
     def save(self, path: str) -> Bm25Index:
-        """Parquet tables under path; postings are laid out by term so that a query reads few row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in self.TABLES[1:]:
+        """Parquet tables under path."""
+        for name in self.TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Bm25Index.load(self.postings.sparkSession, path)
+        return Bm25Index.load(self.chunks.sparkSession, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
     def cache(self) -> Bm25Index:
-        return Bm25Index(*[getattr(self, name).cache() for name in self.TABLES])
+        """Kept by Spark, in memory or on disk; the statistics are derived from the kept chunks."""
+        kept = self.chunks.cache()
+        return Bm25Index(kept, *[d.cache() for d in _statistics(kept)])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each chunk and their counts."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.dictionary_encode(tokens.flatten())
+        code, words = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary
+        key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(words)) + code, return_counts=True)
+        offsets = pa.array(np.searchsorted(key, np.arange(len(sizes) + 1) * max(1, len(words))).astype(np.int32))
+        terms = pa.ListArray.from_arrays(offsets, words.take(pa.array(key % max(1, len(words)))))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("chunk_id", "ordinal")], pa.array(sizes, pa.int32()), terms, pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))], names=["chunk_id", "ordinal", "dl", "terms", "tfs"])
+
+
+def _statistics(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(corpus).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    terms = raw.crossJoin(raw.agg((EPSILON * F.avg("raw")).alias("floor"))).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return terms, corpus
 
 
 def build(chunks: DataFrame) -> Bm25Index:
-    """From chunks(chunk_id, ordinal, text). Each text is tokenised once; length and term counts ride together."""
-    tokens = chunks.select("chunk_id", "ordinal", T.words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    lengths = tokens.select("chunk_id", "ordinal", F.size("tokens").alias("dl"))
-    postings = (
-        tokens.select("chunk_id", "ordinal", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("term", "chunk_id", "ordinal", "dl")
-        .agg(F.count("*").cast("int").alias("tf"))
-        .select("term", "chunk_id", "ordinal", "tf", "dl")
-    )
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(corpus).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    terms = raw.crossJoin(raw.agg((EPSILON * F.avg("raw")).alias("floor"))).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, corpus, chunks.select("chunk_id", "ordinal"))
+    """From chunks(chunk_id, ordinal, text). Each text is tokenised once."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    tokens = chunks.select("chunk_id", F.col("ordinal").cast("bigint").alias("ordinal"), T.words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    counted = tokens.mapInArrow(_counted, f"chunk_id {kind}, ordinal bigint, dl int, terms array<string>, tfs array<int>")
+    return Bm25Index(counted, *_statistics(counted))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -65,44 +91,88 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.words("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def matches(index: Bm25Index, queries: DataFrame, grid: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, [config_id,] chunk_id, ordinal, score) of every chunk with a query term.
-
-    With grid(config_id, k1, b) all configurations are scored from one pass over the matching postings.
-    """
-    terms = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(terms, "term").crossJoin(index.corpus)
-    if grid is None:
-        hits, keys = hits.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))}), ["query_id"]
-    else:
-        hits, keys = hits.crossJoin(grid), ["query_id", "config_id"]
-    part = F.col("times") * F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(*keys, "chunk_id", "ordinal").agg(F.sum(part).alias("score"))
-
-
-def top_k(scored: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """The first k by score, then order; scores are compared to 9 digits, so that the order of summing cannot matter."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "ordinal", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+class _Best:
+    """The k best chunks of each of n lists so far, as flat arrays in order of list, score and place."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.list, self.score, self.ordinal, self.chunk = (np.zeros(0, dtype=t) for t in (np.int64, np.float64, np.int64, object))
+
+    def add(self, scores: np.ndarray, ordinal: np.ndarray, chunk: np.ndarray) -> None:
+        """scores of (chunks, lists); compared to nine digits, so that the order of summing cannot matter."""
+        last = np.searchsorted(self.list, np.arange(self.n), side="right") - 1
+        full = np.bincount(self.list, minlength=self.n) >= self.k
+        floor = np.full(self.n, -np.inf)
+        floor[full] = self.score[last[full]] - 2e-9
+        i, j = np.nonzero(scores >= floor)
+        parts = ((self.list, j), (self.score, scores[i, j]), (self.ordinal, ordinal[i]), (self.chunk, chunk[i]))
+        self.list, self.score, self.ordinal, self.chunk = (np.concatenate(p) for p in parts)
+        order = np.lexsort((np.argsort(np.argsort(self.chunk, kind="stable"), kind="stable"), self.ordinal, -np.round(self.score, 9), self.list))
+        order = order[np.arange(len(order)) - np.searchsorted(self.list[order], self.list[order]) < self.k]
+        self.list, self.score, self.ordinal, self.chunk = (x[order] for x in (self.list, self.score, self.ordinal, self.chunk))
+
+
+def _pass(index: Bm25Index, queries: DataFrame, k: int, grid: list[tuple]) -> DataFrame:
+    """(query, config, chunk_id, ordinal, score): each task's k best for every query and configuration; query counts from 0."""
+    asked = queries.select("query_id").distinct().orderBy("query_id").collect()  # at most QUERIES
+    number = {r.query_id: i for i, r in enumerate(asked)}
+    rows = query_terms(queries).join(index.terms.select("term", "idf"), "term").collect()
+    at = index.corpus.first()
+    avgdl, n = float(at.avgdl or 1.0) or 1.0, len(asked)
+    vocabulary = sorted({r.term for r in rows})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    hits = sorted((place[r.term], number[r.query_id], r.times * r.idf) for r in rows)
+    q_term, q_query, q_weight = (np.array([h[i] for h in hits], dtype=t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    first = np.searchsorted(q_term, np.arange(len(vocabulary) + 1))
+    kind = index.chunks.schema["chunk_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, best = pa.array(vocabulary, pa.string()), [_Best(n, k) for _ in grid]
+        chunk_type = None
+        for batch in batches:
+            chunk_type = batch.schema.field("chunk_id").type
+            chunk, ordinal, dl = np.array(batch.column("chunk_id").to_pylist(), dtype=object), batch.column("ordinal").to_numpy(), batch.column("dl").to_numpy()
+            terms, tf = batch.column("terms"), batch.column("tfs").flatten().to_numpy()
+            row = np.repeat(np.arange(len(dl)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            term = pc.fill_null(pc.index_in(terms.flatten(), known), -1).to_numpy()
+            row, tf, term = row[term >= 0], tf[term >= 0], term[term >= 0]
+            each = first[term + 1] - first[term]  # queries that ask for the term
+            upto = np.concatenate([[0], np.cumsum(np.bincount(row, weights=each, minlength=len(dl)) + n)])
+            a = 0
+            while a < len(dl):  # as many chunks at a time as give at most HITS pairs
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + HITS, side="right")) - 1)
+                mine = slice(*np.searchsorted(row, [a, b]))
+                r, t, f, e = row[mine] - a, term[mine], tf[mine].astype(np.float64), each[mine]
+                own = np.repeat(np.arange(len(r)), e)
+                pair = first[t][own] + np.arange(len(own)) - np.repeat(np.cumsum(e) - e, e)
+                cell = r[own] * n + q_query[pair]
+                for (_, k1, b_), held in zip(grid, best):
+                    part = f * (k1 + 1) / (f + k1 * (1 - b_ + b_ * dl[a:b][r] / avgdl))
+                    held.add(np.bincount(cell, weights=part[own] * q_weight[pair], minlength=(b - a) * n).reshape(b - a, n), ordinal[a:b], chunk[a:b])
+                a = b
+        for (c, _, _), held in zip(grid, best):
+            if len(held.list):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held.list, pa.int32()), pa.array(np.full(len(held.list), c), pa.int32()), pa.array(held.chunk.tolist(), chunk_type), pa.array(held.ordinal), pa.array(held.score)], names=["query", "config_id", "chunk_id", "ordinal", "score"]
+                )
+
+    found = index.chunks.mapInArrow(score, f"query int, config_id int, chunk_id {kind}, ordinal bigint, score double")
+    names = queries.sparkSession.createDataFrame([(i, r.query_id) for r, i in zip(asked, range(n))], f"query int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+    return found.join(F.broadcast(names), "query")
 
 
 def search(index: Bm25Index, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, grid: DataFrame | None = None) -> DataFrame:
     """(query_id, [config_id,] chunk_id, ordinal, score, rank): k chunks a query, or all if there are fewer.
 
-    Only queries with fewer than k positive scores are padded, from the first chunks they do not match.
+    With grid(config_id, k1, b), a short table, all configurations are scored from one pass over the matching postings.
     """
     if k < 1:
         raise ValueError("top_k must be above zero")
     keys = ["query_id"] if grid is None else ["query_id", "config_id"]
-    hits = matches(index, queries, grid, k1, b)
-    asked = queries.select("query_id").distinct()
-    if grid is not None:
-        asked = asked.crossJoin(grid.select("config_id"))
-    held = hits.groupBy(*keys).agg(F.count_if(F.round("score", 9) > 0).alias("positive"), F.count("*").alias("hit"))
-    needy = asked.join(held, keys, "left").fillna(0, ["positive", "hit"]).where(F.col("positive") < k)
-    most = needy.agg(F.max("hit")).first()[0]
-    if most is None:
-        return top_k(hits, k, keys)
-    first = index.chunks.orderBy("ordinal", "chunk_id").limit(int(most) + k)
-    padding = needy.select(*keys).crossJoin(first).join(hits.select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(hits.unionByName(padding), k, keys)
+    configs = [(0, float(k1), float(b))] if grid is None else [(r.config_id, r.k1, r.b) for r in grid.select("config_id", "k1", "b").collect()]
+    queries = queries.select("query_id", "query")
+    passes = max(1, -(-queries.count() // QUERIES))
+    parts = [queries] if passes == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * passes)) == i) for i in range(2 * passes)]  # of about half the size, so that none is much over
+    found = reduce(DataFrame.unionByName, [_pass(index, p, k, configs) for p in parts])
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "ordinal", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "chunk_id", "ordinal", "score", "rank")

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.functions import text as T
+
 IDENTIFIERS = ("chunk_id", "document_id", "text", "title", "source")
 
 
@@ -21,6 +23,22 @@ def identifiers(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(F.array(*names))).alias("label"))
 
 
+def containing(passages: DataFrame, chunks: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks(chunk_id, text) that hold the text of a passage(query_id, query) as it stands.
+
+    A chunk that holds a passage holds its inner words as words of its own (the first and last may be parts of longer ones), so each passage
+    meets only the chunks with its rarest inner word, by an equi-join with postings(term, chunk_id) and terms(term, df). Passages
+    without an inner word are few and short, and are looked for everywhere.
+    """
+    words = T.words("query")
+    inner = passages.select("query_id", F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("term"))
+    rarest = inner.join(terms.select("term", "df"), "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    candidates = rarest.join(postings.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+    found = candidates.join(passages, "query_id").join(chunks, "chunk_id").where(F.contains("text", "query")).select("query_id", "chunk_id")
+    short = passages.where(F.size(words) < 3)
+    return found if short.isEmpty() else found.union(short.join(chunks, F.contains("text", "query")).select("query_id", "chunk_id"))
+
+
 def relevance(results: DataFrame, labels: DataFrame, names: DataFrame) -> DataFrame:
     """results with matched_label and relevant: a chunk matches its first positive label, and only a label's first match counts.
 

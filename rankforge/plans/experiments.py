@@ -138,7 +138,7 @@ class Runner:
 
     @staticmethod
     def _materialise(retriever: Retriever) -> None:
-        for df in (retriever.lexical.postings if retriever.lexical else None, retriever.vectors, retriever.terms):
+        for df in (retriever.lexical.chunks if retriever.lexical else None, retriever.vectors, retriever.terms):
             if df is not None:
                 noop(df)
 

@@ -38,9 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a scan of fewer splits than cores is spread over them, as a file of one row group is one task."""
-    scan, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return table(spark, sf_dir, "documents")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +76,13 @@ def _clean(x: str) -> str:
 
 
 BM25_SQL = f"""
-tok AS (SELECT doc_id, unnest({_words("text")}) AS term FROM documents),
-len AS (SELECT doc_id, len({_words("text")}) AS dl FROM documents),
-corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
-post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY term, doc_id),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5e0) - ln(count(*) + 0.5e0) AS raw FROM post, corpus GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25e0 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+bags AS MATERIALIZED (SELECT doc_id, {_words("text")} AS words FROM documents),
+len AS (SELECT doc_id, len(words) AS dl FROM bags),
+corpus AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+post AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM bags) GROUP BY term, doc_id),
+found AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+weights AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM corpus) - df + 0.5e0) - ln(df + 0.5e0) AS w FROM found),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN w < 0 THEN 0.25e0 * (SELECT avg(w) FROM weights) ELSE w END AS idf FROM weights),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_words("text")}) AS term FROM benchmark) GROUP BY query_id, term)"""
 _PART = "times * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))"
 
@@ -97,7 +96,7 @@ def _ranked(k1: object, b: object, k: int, name: str) -> str:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    """Kept by Spark, in memory or on disk, as every search reads its postings more than once."""
+    """Kept by Spark, in memory or on disk, as its statistics and every search read it."""
     return bm25.build(chunks(spark, sf_dir)).cache()
 
 
@@ -325,23 +324,26 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- evaluation: a document is relevant to a benchmark passage if it holds the passage
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir)
-    pairs = asked.join(docs, F.contains("text", "query"))
-    return pairs.select("query_id", F.col("doc_id").cast("string").alias("label"), F.col("doc_id").alias("place"))
+def _labels(spark: SparkSession, sf_dir: str, index: bm25.Bm25Index) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    pairs = evaluation.containing(benchmark(spark, sf_dir), docs, index.postings, index.terms).cache()
+    return pairs.select("query_id", F.col("chunk_id").cast("string").alias("label"), F.col("chunk_id").alias("place"))
 
 
 LABEL_SQL = "labelled AS (SELECT b.item_id AS query_id, d.doc_id, d.doc_id::VARCHAR AS label FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def _flags(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+def _flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranked chunks with their relevance, and the labels."""
+    index = _index(spark, sf_dir)
+    labels = _labels(spark, sf_dir, index)
     named = evaluation.identifiers(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "source"))
-    return evaluation.relevance(_bm25(spark, sf_dir), labels, named)
+    return evaluation.relevance(bm25.search(index, benchmark(spark, sf_dir), K, K1, B), labels, named), labels
 
 
 @register(f"WITH {BM25_SQL}, {_ranked(K1, B, K, 'r')}, {LABEL_SQL} SELECT r.query_id, r.doc_id, r.rank::INTEGER AS rank, l.label IS NOT NULL AS relevant FROM r LEFT JOIN labelled l ON l.query_id = r.query_id AND l.doc_id = r.doc_id")
 def first_hit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir, _labels(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "relevant")
+    return _flags(spark, sf_dir)[0].select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "relevant")
 
 
 @register(f"""WITH {BM25_SQL}, {_ranked(K1, B, K, 'r')}, {LABEL_SQL},
@@ -350,9 +352,9 @@ h AS (SELECT r.query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank
 SELECT round(avg(coalesce(hits, 0) / {K}.0e0), 9) AS precision_at_k, round(avg(coalesce(hits, 0) / total::DOUBLE), 9) AS recall_at_k, round(avg(coalesce(1 / first::DOUBLE, 0)), 9) AS mean_reciprocal_rank,
 round(avg(coalesce(dcg, 0) / {_IDCG.format(n="total", k=K)}), 9) AS ndcg_at_k FROM n LEFT JOIN h USING (query_id)""")
 def precision_recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _labels(spark, sf_dir)
+    flags, labels = _flags(spark, sf_dir)
     totals = labels.groupBy("query_id").agg(F.count("*").alias("total"))
-    return _rounded(evaluation.aggregate_metrics(evaluation.query_metrics(_flags(spark, sf_dir, labels), totals, K)))
+    return _rounded(evaluation.aggregate_metrics(evaluation.query_metrics(flags, totals, K)))
 
 
 @register("SELECT count(*) AS labels, count(*) FILTER (t IS NOT NULL) AS matched FROM (SELECT DISTINCT text AS label FROM benchmark UNION SELECT doc_id::VARCHAR FROM labels) LEFT JOIN (SELECT text AS t FROM documents UNION SELECT doc_id::VARCHAR FROM documents UNION SELECT source FROM documents) ON t = label")
