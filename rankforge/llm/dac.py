@@ -13,10 +13,8 @@ tokens are ordinary text. Repeated rows give equal rows. An empty table gives an
 
 from __future__ import annotations
 
-import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,9 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm.shared import pick
+from rankforge.llm.tokens import VOCABULARY, tokenizer
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK, BLOCK = 8, 512
 MAGIC = b"DAC1"
 
@@ -95,15 +92,6 @@ class Codes:
         return out
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = tokenizer(path)
     for batch in batches:

@@ -11,10 +11,12 @@ until none changes the instance.
 Best fit of the remainder, sizes decreasing: each piece goes to the fullest open bin that takes it.
 
 Every piece then gets its number among the pieces of its size, counted in parallel by (size, bucket) with offsets, and the plan's runs turn numbers
-into bins, so that no task handles all pieces of one size.
+into bins. There are as many buckets as keep one at about BUCKET_ROWS pieces, so that no task handles all pieces of one size.
+
+Tokens are those of the BPE vocabulary; piece p of a document is its tokens from token_start = p * capacity on.
 
 Cases: documents without tokens (null, empty) are listed with size 0 and no bin. Repeated rows are packed separately; pieces of
-equal size are interchangeable and ordered by a hash of the row. An empty table gives an empty result. Other columns are not read.
+equal size are interchangeable. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import pick, row_key, written
-from rankforge.llm.tokens import token_count
+from rankforge.llm.shared import pick, written
+from rankforge.llm.tokens import VOCABULARY, token_count
 
-CAPACITY, BUCKETS = 2048, 64
+CAPACITY, BUCKET_ROWS = 2048, 1 << 18
 
 
 class Pieces:
@@ -186,24 +188,28 @@ def _assign(batches: Iterator[pa.RecordBatch], runs: dict[int, np.ndarray]) -> I
                 start[at] = mine[:, 3] + (number[at] - mine[:, 0]) % mine[:, 2] * size[at]
         none = size == 0
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("doc_id", "piece", "n_tokens")], pa.array(bins, mask=none), pa.array(start, mask=none)], names=["doc_id", "piece", "n_tokens", "bin_id", "bin_start"]
+            [*[batch.column(c) for c in ("doc_id", "piece", "token_start", "n_tokens")], pa.array(bins, mask=none), pa.array(start, mask=none)],
+            names=["doc_id", "piece", "token_start", "n_tokens", "bin_id", "bin_start"],
         )
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, piece, n_tokens, bin_id, bin_start): every piece with its bin and its first token's place there."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, piece, token_start, n_tokens, bin_id, bin_start): every piece, its tokens in the document, its bin and its first token's place there."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = written(pick(docs, doc_id="doc_id", text="text").select("doc_id", token_count().alias("n"), *row_key()), "lengths")
+    slim = written(pick(docs, doc_id="doc_id", text="text").select("doc_id", token_count("text", vocabulary).alias("n"), F.monotonically_increasing_id().alias("row")), "lengths")
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("bigint")
-    pieces = slim.select("doc_id", "k1", "k2", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
-    pieces = pieces.withColumn("n_tokens", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("bigint")).withColumn("bucket", F.pmod(F.col("k2"), F.lit(buckets)))
+    pieces = slim.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    start = F.col("piece") * capacity
+    pieces = pieces.withColumns({"token_start": start, "n_tokens": F.least(F.lit(capacity), F.col("n") - start).cast("bigint")})
+    counts = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
+    buckets = max(1, -(-sum(counts.values()) // bucket_rows))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
     held = pieces.groupBy("n_tokens", "bucket").agg(F.count("*").alias("held"))
-    counts = {r.n_tokens: r.n for r in held.groupBy("n_tokens").agg(F.sum("held").alias("n")).where("n_tokens > 0").collect()}
     before = held.withColumn("before", F.sum("held").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("held")).drop("held")
-    place = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("k1", "k2", "piece"))
-    numbered = pieces.withColumn("place", place).join(before, ["n_tokens", "bucket"]).select("doc_id", "piece", "n_tokens", (F.col("before") + F.col("place") - 1).alias("number"))
-    runs = plan(counts, capacity)
-    return numbered.mapInArrow(lambda it: _assign(it, runs), f"doc_id {kind}, piece bigint, n_tokens bigint, bin_id bigint, bin_start bigint")
+    place = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("row", "piece"))
+    numbered = pieces.withColumn("place", place).join(before, ["n_tokens", "bucket"]).select("doc_id", "piece", "token_start", "n_tokens", (F.col("before") + F.col("place") - 1).alias("number"))
+    runs = plan({s: n for s, n in counts.items() if s > 0}, capacity)
+    return numbered.mapInArrow(lambda it: _assign(it, runs), f"doc_id {kind}, piece bigint, token_start bigint, n_tokens bigint, bin_id bigint, bin_start bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
