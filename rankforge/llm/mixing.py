@@ -5,7 +5,7 @@ All of the budget but a window of two of the longest documents is drawn in propo
 by length, so that every band of lengths gives the same share. A bounded-knapsack program over the documents still available, in seeded order, then
 fits the remaining tokens, from below. As long as the fit is not exact, the window grows fourfold, until it is the whole budget, which makes the fit
 optimal, or both WINDOW and 16 of the longest documents. Lengths are divided by their greatest common divisor first. The counts by length are met by the documents
-of that length with the least seeded hashes.
+of that source and length with the least seeded hashes; rows that repeat each other have equal hashes, and any of them may be taken. Tokens are those of the BPE vocabulary.
 
 Without weights, sources weigh in proportion to tokens ** ALPHA; without a budget it is the largest one that needs no
 source more than once, but at least the share LEAST of the tokens of all weighted sources, so that a tiny source does not set the total. A source with
@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import pick, row_key, seeded, written
-from rankforge.llm.tokens import token_count
+from rankforge.llm.shared import narrow, pick, row_key, seeded, written
+from rankforge.llm.tokens import VOCABULARY, token_count
 
 ALPHA, SEED, WINDOW, LEAST = 0.5, 29, 1 << 22, 0.5
 
@@ -119,29 +119,65 @@ def plan(lengths: DataFrame, weights: dict | None = None, budget: int | None = N
     return joined.groupBy("source").applyInArrow(solve, "source string, n_tokens bigint, take bigint").where("take > 0")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED, least: float = LEAST) -> DataFrame:
-    """(doc_id, source, n_tokens, k1, k2) of the chosen documents."""
-    rows = pick(docs, doc_id="doc_id", source=F.col("source").cast("string"), text="text")
-    slim = written(rows.select("doc_id", "source", token_count().alias("n_tokens"), *row_key()).where("n_tokens > 0"), "lengths")
-    lengths = slim.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
-    take = written(plan(lengths, weights, budget, alpha, seed, least), "take").select(F.col("source").alias("s"), F.col("n_tokens").alias("t"), "take")
-    place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(seeded(seed, "k1", "k2"), "k1", "k2"))
-    ranked = slim.withColumn("place", place)
-    chosen = ranked.join(take, ranked.source.eqNullSafe(take.s) & (ranked.n_tokens == take.t)).where("place <= take")
-    return chosen.select("doc_id", "source", "n_tokens", "k1", "k2")
+def _class() -> Column:
+    """The source as a string that is never null, so that it can be a join key."""
+    return F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The chosen rows of docs, all columns."""
-    chosen = written(mix(docs, **options).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.count("*").alias("__n")), "chosen")
-    k1, k2 = row_key()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), k1.alias("__k1"), k2.alias("__k2"))
-    some = chosen.where("__n = 1")
-    # of rows that repeat each other any __n may be taken, as they are equal in doc_id and text
-    repeated = keyed.join(chosen.where("__n > 1"), ["__k1", "__k2"]).withColumn("__i", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0))))
-    single = keyed.join(some, ["__k1", "__k2"], "left_semi")
-    return single.select("__row").union(repeated.where("__i <= __n").select("__row")).select("__row.*")
+def _first(table: DataFrame, order: str) -> DataFrame:
+    """Of each class the row, in the given order, that holds its `rest`-th document; `c` counts a row's documents, `rest` becomes the number still to find."""
+    upto = F.sum("c").over(Window.partitionBy("class", "n_tokens").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = table.withColumn("upto", upto).where("upto >= rest and upto - c < rest")
+    return found.withColumn("rest", F.col("rest") - (F.col("upto") - F.col("c"))).drop("upto")
+
+
+def bounds(slim: DataFrame, take: DataFrame) -> DataFrame:
+    """(class, n_tokens, h, last): of slim(class, n_tokens, h, row) those are chosen whose (h, row) is at most (h, last), `take` of each class.
+
+    The bound is found by digits of the hash, then among rows of equal hash by the partition that wrote them, so that no task ever ranks a whole class.
+    """
+    key = ["class", "n_tokens"]
+    held = written(slim.groupBy(*key, "h").agg(F.count("*").alias("c")).withColumn("digit", F.shiftright("h", 48)), "hashes")
+    digits = held.groupBy(*key, "digit").agg(F.sum("c").alias("c")).join(narrow(take), key)
+    digit = _first(digits, "digit").select(*key, "digit", "rest")
+    exact = written(_first(held.join(digit, [*key, "digit"]), "h").select(*key, "h", "c", "rest"), "bounds")
+    tied = exact.where("rest < c")
+    whole = exact.where("rest = c").select(*key, "h", F.lit(2**63 - 1).alias("last"))
+    if tied.isEmpty():
+        return whole
+    rows = slim.withColumn("part", F.shiftright("row", 33)).join(narrow(tied.select(*key, "h", "rest")), [*key, "h"])
+    part = _first(rows.groupBy(*key, "h", "part").agg(F.count("*").alias("c"), F.first("rest").alias("rest")), "part").select(*key, "h", "part", "rest")
+    last = rows.drop("rest").withColumn("c", F.lit(1)).join(part, [*key, "h", "part"])
+    return whole.union(_first(last, "row").select(*key, "h", F.col("row").alias("last")))
+
+
+def _chosen(slim: DataFrame, weights: dict | None, budget: int | None, alpha: float, seed: int, least: float) -> DataFrame:
+    """The chosen rows of a written table with source, class, n_tokens, h and row, all columns."""
+    lengths = slim.where("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
+    take = written(plan(lengths, weights, budget, alpha, seed, least).select(_class().alias("class"), "n_tokens", F.col("take").alias("rest")), "take")
+    found = written(bounds(slim.select("class", "n_tokens", "h", "row").where("n_tokens > 0"), take).withColumnsRenamed({"h": "most"}), "chosen")
+    return slim.join(narrow(found), ["class", "n_tokens"]).where("h < most or h = most and row <= last")
+
+
+def _keyed(seed: int, vocabulary: str) -> list[Column]:
+    """What _chosen() needs of a row with doc_id, source and text."""
+    return [F.col("source"), _class().alias("class"), token_count("text", vocabulary).alias("n_tokens"), seeded(seed, "k1", "k2").alias("h"), F.monotonically_increasing_id().alias("row")]
+
+
+def mix(docs: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED, least: float = LEAST, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, n_tokens) of the chosen documents."""
+    rows = pick(docs, doc_id="doc_id", source=F.col("source").cast("string"), text="text").select("*", *row_key())
+    slim = written(rows.select("doc_id", *_keyed(seed, vocabulary)), "lengths")
+    return _chosen(slim, weights, budget, alpha, seed, least).select("doc_id", "source", "n_tokens")
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED, least: float = LEAST, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The chosen rows of docs, all columns. Rows are stored with their numbers of tokens and met by the bounds of their class, so that no text is shuffled."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("text")).select("*", *row_key())
+    slim = written(rows.select("whole", *_keyed(seed, vocabulary)), "mixed")
+    return _chosen(slim, weights, budget, alpha, seed, least).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "n_tokens")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
