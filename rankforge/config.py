@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import os
 import platform
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
@@ -69,10 +70,12 @@ class Config:
         self._validate()
 
     @classmethod
-    def load(cls, path: str | Path) -> Config:
+    def load(cls, path: str | Path, read: Callable[[str], str] | None = None) -> Config:
+        """From YAML; `read` gets the text where the path is not on this machine."""
         import yaml
 
-        return cls(yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
+        text = read(str(path)) if read else Path(expand(path)).read_text(encoding="utf-8")
+        return cls(yaml.safe_load(text) or {})
 
     def __getitem__(self, path: str) -> Any:
         value: Any = self.values

@@ -10,7 +10,6 @@ import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from rankforge.config import Config
 from rankforge.functions.text import notes as joined
 from rankforge.operators import chunking, dense, evaluation
 from rankforge.plans.retrieval import Retriever
-from rankforge.sources import stores
+from rankforge.sources import storage, stores
 
 RECHUNKED = {f"chunking.{k}" for k in ("strategy", "chunk_size", "overlap", "semantic_similarity_threshold", "semantic_min_sentences", "semantic_encoder_model")}
 
@@ -126,9 +125,7 @@ class Runner:
             found = flags.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
             rows = examples.select("query_id", "query", "positive_documents").join(each, "query_id").join(found, "query_id", "left").orderBy("query_id").collect()
             out = record | {"sample_count": len(rows), "query_results": [r.asDict() for r in rows]}
-            target = Path(config["benchmark.results_directory"])
-            target.mkdir(parents=True, exist_ok=True)
-            (target / f"{record['experiment_id']}_benchmark.json").write_text(json.dumps(out, indent=2, default=str), encoding="utf-8")
+            storage.write_text(self.spark, f"{config['benchmark.results_directory']}/{record['experiment_id']}_benchmark.json", json.dumps(out, indent=2, default=str))
             return out
         except Exception:
             self.store.save(record | {"status": "failed"})

@@ -18,7 +18,7 @@ class DocumentPipeline:
         self.spark, self.config = spark, config
 
     def ingest(self, path: str) -> DataFrame:
-        return files.ingest_path(self.spark, path, self.config["ingestion.recursive"], self.config["ingestion.input_directory"])
+        return files.ingest_path(self.spark, path, self.config["ingestion.recursive"], self.config["ingestion.input_directory"], self.config["ingestion.supported_extensions"])
 
     def preprocess(self, documents: DataFrame) -> DataFrame:
         return preprocess(documents, self.config)

@@ -14,7 +14,7 @@ from rankforge.operators.chunking import corpus_statistics
 from rankforge.plans.experiments import Runner
 from rankforge.plans.report import Analysis
 from rankforge.plans.retrieval import DocumentPipeline, Retriever
-from rankforge.sources import stores
+from rankforge.sources import storage, stores
 
 
 class Service:
@@ -22,9 +22,8 @@ class Service:
         self.spark = spark
         self._loaded: dict[tuple[str, str], Retriever] = {}
 
-    @staticmethod
-    def config(body: dict) -> Config:
-        return Config.load(body["config_path"]) if body.get("config_path") else Config(body.get("config"))
+    def config(self, body: dict) -> Config:
+        return Config.load(body["config_path"], lambda p: storage.read_text(self.spark, p)) if body.get("config_path") else Config(body.get("config"))
 
     def analysis(self, body: dict) -> Analysis:
         c = self.config(body)
@@ -82,7 +81,7 @@ class Service:
     def benchmark(self, body: dict) -> dict:
         runner, c = self._runner(body)
         mode, at = body.get("mode", "single"), (body["corpus_path"], body.get("dataset_path") or c["benchmark.dataset_path"])
-        given = body.get("parameters") or (stores.load_parameters(body["parameters_path"]) if body.get("parameters_path") else {})
+        given = body.get("parameters") or (stores.load_parameters(self.spark, body["parameters_path"]) if body.get("parameters_path") else {})
         runs = {"single": lambda: [runner.run(c, *at, notes=body.get("notes"))], "sweep": lambda: runner.sweep(c, *at, given, body.get("notes")), "grid_search": lambda: runner.grid(c, *at, given, body.get("notes"))}
         if mode not in runs:
             raise ValueError(f"mode must be one of {', '.join(runs)}")
@@ -90,7 +89,7 @@ class Service:
 
     def search(self, body: dict) -> dict:
         runner, c = self._runner(body)
-        space = body.get("space") or stores.load_parameters(body["search_space_path"])
+        space = body.get("space") or stores.load_parameters(self.spark, body["search_space_path"])
         results, best, value = runner.search(c, body["corpus_path"], body.get("dataset_path") or c["benchmark.dataset_path"], space, body.get("trials", 20), body.get("objective", "ndcg"), body.get("notes"), body.get("seed"))
         return {"trials": len(results), "best": best, "value": value}
 

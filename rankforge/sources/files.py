@@ -10,8 +10,8 @@ import io
 import re
 import unicodedata
 import zipfile
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions import text as T
+from rankforge.sources import storage
 
-TYPES = {".txt": "txt", ".md": "markdown", ".markdown": "markdown", ".docx": "docx", ".pdf": "pdf"}
 WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -61,14 +61,41 @@ def tidy(page: str) -> str:
     return t.strip()
 
 
+@dataclass(frozen=True)
+class Loader:
+    """How files of a kind become text: `parse` gives text, pages and paragraphs of the bytes; without it they are UTF-8 text and stay inside the JVM."""
+
+    kind: str
+    parse: Callable[[bytes], tuple[str, int | None, int | None]] | None = None
+
+
+def _docx(content: bytes) -> tuple[str, int | None, int | None]:
+    parts = docx_paragraphs(content)
+    return "\n".join(parts), None, len(parts)
+
+
+def _pdf(content: bytes) -> tuple[str, int | None, int | None]:
+    pages = [tidy(p) for p in pdf_pages(content)]
+    return "\f".join(pages), len(pages), None
+
+
+LOADERS: dict[str, Loader] = {".txt": Loader("txt"), ".md": Loader("markdown"), ".markdown": Loader("markdown"), ".docx": Loader("docx", _docx), ".pdf": Loader("pdf", _pdf)}
+
+
+def register_loader(suffix: str, loader: Loader) -> None:
+    """A loader for another extension, such as ".rst"."""
+    LOADERS[suffix.lower()] = loader
+
+
 def _binary_parsed() -> Column:
+    parsers = {e.kind: e.parse for e in LOADERS.values() if e.parse}
+
     @F.pandas_udf("struct<text:string,pages:int,paragraphs:int,error:string>")
     def parse(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
         rows = []
         for k, c in zip(kind, content):
             try:
-                parts = docx_paragraphs(c) if k == "docx" else [tidy(p) for p in pdf_pages(c)]
-                rows.append(("\n".join(parts), None, len(parts), None) if k == "docx" else ("\f".join(parts), len(parts), None, None))
+                rows.append((*parsers[k](c), None))
             except Exception as e:  # any malformed file is a failure of that file alone
                 rows.append((None, None, None, f"{type(e).__name__}: {e}"[:500]))
         return pd.DataFrame(rows, columns=["text", "pages", "paragraphs", "error"]).astype({"pages": "Int32", "paragraphs": "Int32"})
@@ -76,26 +103,32 @@ def _binary_parsed() -> Column:
     return parse("file_type", "content")
 
 
-def domains(root: str) -> list[str]:
-    """The non-empty sub-directories of a local ingestion root, by name."""
-    base = Path(root)
-    return sorted(d.name for d in base.iterdir() if d.is_dir() and any(f.is_file() for f in d.rglob("*"))) if base.is_dir() else []
+def domains(spark: SparkSession, root: str) -> list[str]:
+    """The non-empty sub-directories of an ingestion root, by name."""
+    return storage.folders(spark, root)
+
+
+def _glob(extensions: Iterable[str]) -> str:
+    """A file name pattern for the extensions in either case; the scan never opens other files."""
+    letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip("."))
+    return "*.{" + ",".join(letters(e) for e in extensions) + "}"
 
 
-def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """The supported files under a path with their content, by path; unsupported ones are left out before their bytes are read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(path).withColumn("extension", extension("path"))
-    kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.col("extension")]
-    return files.where(F.col("extension").isin(*TYPES)).withColumn("file_type", kind)
+def scan(spark: SparkSession, path: str, recursive: bool = True, extensions: Iterable[str] | None = None) -> DataFrame:
+    """The files under a path whose extension has a loader, and is among `extensions` where these are given, with their content."""
+    wanted = [e for e in LOADERS if extensions is None or e in {x.lower() for x in extensions}]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _glob(wanted or [".none"]))
+    kind = F.create_map(*[F.lit(x) for e in LOADERS for x in (e, LOADERS[e].kind)])[F.col("extension")]
+    files = reader.load(str(path)).withColumn("extension", extension("path"))
+    return files.where(F.col("extension").isin(*wanted)).withColumn("file_type", kind)
 
 
-def ingest(spark: SparkSession, path: str, recursive: bool = True, root: str | None = None) -> Ingested:
+def ingest(spark: SparkSession, path: str, recursive: bool = True, root: str | None = None, extensions: Iterable[str] | None = None) -> Ingested:
     """Documents and failures of a directory. With a root, `domain` is the first directory below it, and if the
-    root itself is read and has sub-directories, files directly in it are skipped.
+    root itself is read and has sub-directories, files directly in it are skipped. Rows come in no order; `source` is what they are ordered by.
     """
-    files = scan(spark, path, recursive)
-    plain = F.col("file_type").isin("txt", "markdown")
+    files = scan(spark, path, recursive, extensions)
+    plain = F.col("file_type").isin(*{e.kind for e in LOADERS.values() if e.parse is None})
     # text files stay inside the JVM
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
     texts = files.where(plain).withColumn("parsed", F.struct(utf8.alias("text"), F.lit(None).cast("int").alias("pages"), F.lit(None).cast("int").alias("paragraphs"), F.when(utf8.isNull(), "UnicodeDecodeError: not UTF-8").alias("error")))
@@ -103,32 +136,31 @@ def ingest(spark: SparkSession, path: str, recursive: bool = True, root: str | N
     rows = texts.unionByName(binary)
     local = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
     name = F.element_at(F.split(local, "/"), -1)
-    raw = F.col("parsed.text")
-    text = raw
+    text = F.col("parsed.text")
     domain = F.lit(None).cast("string")
     if root is not None:
-        base = str(Path(root).resolve()).rstrip("/") + "/"
+        base = storage.resolved(spark, root).rstrip("/") + "/"
         below = F.when(F.startswith(local, F.lit(base)), F.substring(local, len(base) + 1, 1 << 20))
         domain = F.when(F.contains(below, F.lit("/")), F.split(below, "/")[0])
-        if Path(path).resolve() == Path(root).resolve() and domains(root):
+        if storage.resolved(spark, path).rstrip("/") + "/" == base and domains(spark, root):
             rows = rows.where(domain.isNotNull())
     good = rows.where("parsed.error is null").select(
         T.document_id(name, text).alias("document_id"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), text.alias("text"), local.alias("source"), "file_type", name.alias("filename"), "extension",
         F.col("length").alias("size_bytes"), (F.unix_millis("modificationTime") / 1000).alias("modified_at"), F.col("parsed.pages").alias("page_count"), F.col("parsed.paragraphs").alias("paragraph_count"), domain.alias("domain"),
     )
-    return Ingested(good.orderBy("source"), rows.where("parsed.error is not null").select(local.alias("source"), F.col("parsed.error").alias("error")))
+    return Ingested(good, rows.where("parsed.error is not null").select(local.alias("source"), F.col("parsed.error").alias("error")))
 
 
-def ingest_path(spark: SparkSession, path: str, recursive: bool = True, root: str | None = None) -> DataFrame:
+def ingest_path(spark: SparkSession, path: str, recursive: bool = True, root: str | None = None, extensions: Iterable[str] | None = None) -> DataFrame:
     """Documents of a file or directory. A single file that is unsupported or unreadable raises; in a directory it is left out."""
-    at = Path(path)
-    if not at.exists():
+    if not storage.exists(spark, path):
         raise FileNotFoundError(path)
-    if at.is_file():
-        if at.suffix.lower() not in TYPES:
-            raise ValueError(f"no loader for {at.suffix or 'files without extension'}")
-        found = ingest(spark, path, recursive, root)
+    if storage.is_file(spark, path):
+        suffix = "." + str(path).rpartition("/")[2].rpartition(".")[2].lower()
+        if suffix not in LOADERS or extensions is not None and suffix not in {x.lower() for x in extensions}:
+            raise ValueError(f"no loader for {path}")
+        found = ingest(spark, path, recursive, root, extensions)
         if bad := found.failures.first():
             raise ValueError(f"{bad.source}: {bad.error}")
         return found.documents
-    return ingest(spark, path, recursive, root).documents
+    return ingest(spark, path, recursive, root, extensions).documents

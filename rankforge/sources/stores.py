@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankforge.sources import storage
+
 CHUNK = "chunk_id string, document_id string, text string, position int, token_count int, title string, source string"
 EXAMPLES = "query_id int, query string, positive_documents array<string>, negative_documents array<string>, metadata string"
 NUMBERS = ("precision_at_k", "recall_at_k", "mean_reciprocal_rank", "ndcg_at_k", "average_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "batch_ms_per_query", "embedding_time_ms", "index_build_time_ms", "overall_score")
@@ -30,7 +33,7 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents and chunks of a Parquet corpus, or of one JSON file with `documents` and `chunks` lists."""
     if not str(path).endswith(".json"):
         return spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/chunks")
-    if not Path(path).exists():
+    if not storage.exists(spark, path):
         raise FileNotFoundError(path)
     whole = spark.read.option("multiLine", True).json(str(path))
     inner = whole.select(F.explode("chunks").alias("c"))
@@ -42,9 +45,8 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """One indented JSON list on the driver, for tables of documents small enough to exchange by file."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps([json.loads(r) for r in df.toJSON().collect()], indent=2, ensure_ascii=False), encoding="utf-8")
+    """One JSON list in a file, for tables of documents to be exchanged."""
+    storage.write_json_list(df, path)
 
 
 def with_ordinal(chunks: DataFrame) -> DataFrame:
@@ -92,14 +94,14 @@ def load_examples(spark: SparkSession, path: str) -> DataFrame:
     """A labelled dataset in YAML or JSON."""
     import yaml
 
-    return spark.createDataFrame(parse_examples(yaml.safe_load(Path(path).read_text(encoding="utf-8"))), EXAMPLES)
+    return spark.createDataFrame(parse_examples(yaml.safe_load(storage.read_text(spark, path))), EXAMPLES)
 
 
-def load_parameters(path: str) -> dict[str, Any]:
+def load_parameters(spark: SparkSession, path: str) -> dict[str, Any]:
     """A mapping of dotted paths to lists or specifications, bare or under `parameters` or `search_space`."""
     import yaml
 
-    found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    found = yaml.safe_load(storage.read_text(spark, path))
     for name in ("parameters", "search_space"):
         if isinstance(found, dict) and isinstance(found.get(name), dict):
             found = found[name]
@@ -112,18 +114,18 @@ class ExperimentStore:
     """Append-only JSON lines of experiment versions; readers see the latest version of each."""
 
     def __init__(self, spark: SparkSession, directory: str):
-        self.spark, self.directory = spark, Path(directory)
+        self.spark, self.directory = spark, str(directory).rstrip("/")
 
     def save(self, record: dict[str, Any]) -> None:
-        self.directory.mkdir(parents=True, exist_ok=True)
-        version = len(list(self.directory.glob(f"{record['experiment_id']}.*.json")))
-        (self.directory / f"{record['experiment_id']}.{version}.json").write_text(json.dumps(record | {"version": version}, default=str), encoding="utf-8")
+        """A new version in a file of its own: two writers never touch each other's."""
+        version = time.time_ns()
+        storage.write_text(self.spark, f"{self.directory}/{record['experiment_id']}.{version}-{uuid.uuid4().hex[:8]}.json", json.dumps(record | {"version": version}, default=str))
 
     def all(self) -> DataFrame:
         """The latest versions, newest first."""
-        if not any(self.directory.glob("*.json")):
+        if not storage.names(self.spark, self.directory, ".json"):
             return self.spark.createDataFrame([], EXPERIMENT)
-        rows = self.spark.read.schema(EXPERIMENT + ", version int").json(str(self.directory / "*.json"))
+        rows = self.spark.read.schema(EXPERIMENT + ", version bigint").option("pathGlobFilter", "*.json").json(self.directory)
         last = rows.groupBy("experiment_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("r")).select("r.*").drop("version")
         return last.orderBy(F.desc("timestamp"), "experiment_id")
 

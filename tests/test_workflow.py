@@ -49,7 +49,7 @@ def test_ingest(spark, folder):
 def test_domains(spark, folder):
     with_root = files.ingest(spark, str(folder), root=str(folder)).documents.collect()
     assert [(r.filename, r.domain) for r in with_root] == [("sample.md", "nested")]  # files directly in a root with sub-directories are skipped
-    assert files.domains(str(folder)) == ["nested"]
+    assert files.domains(spark, str(folder)) == ["nested"]
 
 
 @pytest.fixture()
