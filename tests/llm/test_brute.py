@@ -18,7 +18,7 @@ from rankforge.llm import bagminhash, dac, knn, langid, mixing, neardup, packing
 from rankforge.llm.components import components
 from rankforge.llm.shared import row_key, seeded
 from rankforge.llm.textbytes import hash_word, utf8, word_hashes, word_spans
-from rankforge.llm.tokens import token_count
+from rankforge.llm.tokens import VOCABULARY, token_count, tokenizer
 from rankforge.llm.trigrams import Index, candidates, trigram_query, trigrams_of
 
 
@@ -154,10 +154,14 @@ def test_document_frequencies(spark, sf_dir):
 
 
 def test_long_text_is_cut_and_summed():
-    text = "".join(f"mot{i % 997} " for i in range(900_000))
+    text = "".join(f"mot{i % 997}" + " ,"[i % 2] * (i % 4) for i in range(900_000)) + " " * 5_000_000 + "fin"
     (_, _, counts, size, letters), = list(langid.blocks(pa.array([text])))
     data, offsets = utf8(pa.array([text]))
-    assert (counts == langid.grams(data, offsets)[0]).mean() > 0.999 and abs(size[0] - 2 * len(text)) < 100
+    whole = langid.grams(data, offsets)
+    assert (counts == whole[0]).all() and (size == whole[1]).all() and (letters == whole[2]).all()
+    for most in (1, 2, 3, 7, 100):
+        part = langid._summed(data[:3000], most)
+        assert all((x == y).all() for x, y in zip(part, langid.grams(data[:3000], np.array([0, 3000]))))
 
 
 @settings(max_examples=60, deadline=None)
@@ -168,7 +172,7 @@ def test_codes_round_trip(ids):
 
 
 def test_codes_of_documents(spark, sf_dir):
-    bpe = dac.tokenizer(dac.VOCABULARY)
+    bpe = tokenizer(VOCABULARY)
     text = {r.doc_id: r.text for r in read(spark, sf_dir).collect()}
     got = dac.tokenized(read(spark, sf_dir)).withColumn("third", dac.token_at(F.col("codes"), F.lit(2))).collect()
     for r in got:
@@ -228,6 +232,10 @@ def test_packing_of_documents(spark, sf_dir):
         whole[r.doc_id] += r.n_tokens
         bins.setdefault(r.bin_id, []).append((r.bin_start, r.n_tokens))
     assert whole == length
+    bpe = tokenizer(VOCABULARY)
+    for r in read(spark, sf_dir).collect():  # each piece is the span of tokens that it names
+        ids, own = bpe.encode_ordinary(r.text), sorted((x.token_start, x.n_tokens) for x in got if x.doc_id == r.doc_id)
+        assert [(a, n) for a, n in own] == [(a, min(packing.CAPACITY, len(ids) - a)) for a in range(0, max(1, len(ids)), packing.CAPACITY)]
     for held in bins.values():
         held.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and held[0][0] == 0 and sum(n for _, n in held) <= packing.CAPACITY
@@ -241,15 +249,40 @@ def test_topk_against_all_pairs(spark, sf_dir):
     ids = np.array([r.vec_id for r in rows])
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
-    for options in ({}, {"group_rows": 60, "pivots": 24}, {"pivots": 1, "group_rows": 100}):
-        got = knn.knn_join(vectors, k=5, **options).collect()
-        assert len(got) == 5 * len(rows)
+    for options in ({}, {"group_rows": 60, "query_rows": 40, "pivots": 24}, {"pivots": 1, "group_rows": 100, "query_rows": 70}):
+        some = F.col("vec_id") % 7 == 0 if options else None
+        got = knn.knn_join(vectors, some, k=5, **options).collect()
+        assert len(got) == 5 * sum(i % 7 == 0 or some is None for i in ids)
         by = {(r.vec_id, r["rank"]): (r.neighbor_id, r.distance) for r in got}
-        for i in range(len(rows)):
+        for i in [i for i in range(len(rows)) if some is None or ids[i] % 7 == 0]:
             best = np.lexsort((ids, d[i]))[:5]
             assert [by[ids[i], k + 1][0] for k in range(5)] == ids[best].tolist() and np.allclose([by[ids[i], k + 1][1] for k in range(5)], d[i][best])
 
 
+def test_clusters_are_pruned(spark, monkeypatch):
+    """Clustered vectors are sent to few of the groups, with the same answer as all pairs."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(20, 8)) * 50
+    x = centers[np.arange(2000) % 20] + rng.normal(size=(2000, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    copies = []
+    applied = type(vectors).groupBy
+
+    def counting(self, *columns):
+        if isinstance(columns[0], str) and columns[0] == "part":
+            copies.append(applied(self, "asks").count().collect())
+        return applied(self, *columns)
+
+    monkeypatch.setattr(type(vectors), "groupBy", counting)
+    got = knn.knn_join(vectors, F.col("vec_id") % 5 == 0, k=4, group_rows=100, query_rows=40).collect()
+    copies = {r.asks: r["count"] for r in copies[0]}
+    assert copies[False] < 2.5 * 2000 and copies[True] < 2.5 * 400  # of 20 groups of queries, and 20 or more of vectors
+    d = np.sqrt(((x[::5, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    d[np.arange(400), np.arange(0, 2000, 5)] = np.inf
+    want = {(5 * i, n + 1): int(j) for i in range(400) for n, j in enumerate(np.argsort(d[i])[:4])}
+    assert {(r.vec_id, r["rank"]): r.neighbor_id for r in got} == want
+
+
 @pytest.mark.parametrize("name", list(secrets.RULES))
 def test_trigram_queries_miss_nothing(name):
     """Strings that match a rule, in any context, satisfy its query."""
@@ -275,26 +308,59 @@ def test_trigram_queries_on_generated_matches(pattern, data):
     assert len(candidates(query, Index(trigrams_of(query)).postings(column, offsets), 1)) == 1
 
 
-def test_shards_are_ordered_and_even(spark, sf_dir):
+def keyed(docs):
+    return sorted((bytes(r.k), r.n or 0) for r in docs.select(sharding.sort_key(docs).alias("k"), F.octet_length("text").alias("n")).collect())
+
+
+@pytest.mark.parametrize("most", [8, 64, 1])
+def test_shards_against_brute_force(spark, sf_dir, most):
+    """Shard ids follow from the sorted keys, the coarse splitters and the rule for overfull ranges alone."""
     docs, target = read(spark, sf_dir), 20_000
-    out = sharding.sharded(docs, target=target, most=8).withColumn("part", F.spark_partition_id()).withColumn("k", sharding.sort_key()).collect()
-    assert len(out) == docs.count()
-    size, key, parts = Counter(), {}, {}
-    for r in out:
-        size[r.shard_id] += len(r.text.encode())
-        key.setdefault(r.shard_id, []).append(bytes(r.k))
+    docs = docs.union(docs.where("doc_id = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(90)))).drop("n"))  # a hot repeated row
+    out = sharding.sharded(docs, target=target, splitters=most)
+    rows = out.withColumns({"part": F.spark_partition_id(), "k": sharding.sort_key(out)}).collect()
+    keys = keyed(docs)
+    slim = spark.createDataFrame([(bytearray(k), n) for k, n in keys], "key binary, bytes bigint")
+    coarse = sharding.coarse_splitters(slim, target, most, sharding.SEED)
+    ranges = {}
+    for k, n in keys:
+        ranges.setdefault(sum(c <= k for c in coarse), []).append((k, n))
+    want, base = {}, 0
+    for i in range(len(coarse) + 1):
+        held = sum(n for _, n in ranges.get(i, []))
+        if held <= sharding.SLACK * target:
+            want |= {k: {base} for k, _ in ranges.get(i, [])}
+            base += 1
+            continue
+        pieces, before, label = math.ceil(held / target), 0, None
+        for k in sorted({k for k, _ in ranges[i]}):
+            own = [n for x, n in ranges[i] if x == k]
+            wide = math.ceil(sum(own) / target) if len(own) > 1 and sum(own) > sharding.SLACK * target else 1
+            now = (before * pieces // held, k if wide > 1 else "after" if isinstance(label, tuple) and label[1] not in ("", None) else "")
+            if label is not None and now != label:
+                base += width
+            label, width = now, wide
+            want[k] = set(range(base, base + wide))
+            before += sum(own)
+        base += width
+    got = {}
+    for r in rows:
+        got.setdefault(bytes(r.k), set()).add(r.shard_id)
+    assert len(rows) == len(keys) and got == want
+    parts = {}
+    for r in rows:
         parts.setdefault(r.shard_id, set()).add(r.part)
-    assert all(len(p) == 1 for p in parts.values())
-    order = sorted(key)
-    assert all(max(key[a]) < min(key[b]) for a, b in zip(order, order[1:]))
-    largest = max(len(r.text.encode()) for r in out)
-    assert max(size.values()) <= sharding.SLACK * target + largest
-    assert max(size.values()) > target / 2 and len(order) >= sum(size.values()) / (sharding.SLACK * target + largest)
+    assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == len(parts) and out.rdd.getNumPartitions() == base
+    size = Counter()
+    for r in rows:
+        size[r.shard_id] += len(r.text.encode())
+    assert max(size.values()) <= sharding.SLACK * target + max(len(r.text.encode()) for r in rows)
 
 
 def test_sort_key_orders_like_the_columns(spark):
     rows = [(-5, "a"), (None, "a"), (3, "a"), (3, None), (2**40, "a"), (1, "b"), (1, ""), (1, "ab")]
-    got = spark.createDataFrame([(i, s, "t") for i, s in rows], "doc_id bigint, source string, text string").select("doc_id", "source", sharding.sort_key().alias("k")).collect()
+    got = spark.createDataFrame([(i, s, "t") for i, s in rows], "doc_id bigint, source string, text string")
+    got = got.select("doc_id", "source", sharding.sort_key(got).alias("k")).collect()
     want = sorted(rows, key=lambda r: ((0, "") if r[1] is None else (1, r[1]), (0, 0) if r[0] is None else (1, r[0])))
     assert [(r.doc_id, r.source) for r in sorted(got, key=lambda r: bytes(r.k))] == want
 
