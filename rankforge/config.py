@@ -34,7 +34,6 @@ DEFAULTS: dict[str, Any] = dict(
 )
 CHOICES = {
     "device": ("auto", "cuda", "mps", "cpu"),
-    "chunking.strategy": ("fixed", "recursive", "semantic"),
     "embedding.backend": ("auto", "sentence_transformers", "hashing"),
     "embedding.device": ("auto", "cuda", "mps", "cpu"),
     "retrieval.retriever": ("bm25", "dense", "hybrid"),
@@ -101,6 +100,10 @@ class Config:
         for path in POSITIVE:
             if not self[path] > 0:
                 raise ConfigError(f"{path} must be above zero")
+        from rankforge.operators.chunking import CHUNKERS
+
+        if self["chunking.strategy"] not in CHUNKERS:
+            raise ConfigError(f"chunking.strategy must be one of {', '.join(CHUNKERS)}; it is {self['chunking.strategy']!r}")
         size, overlap = self["chunking.chunk_size"], self["chunking.overlap"]
         if not 0 <= overlap < size:
             raise ConfigError("chunking.overlap must be at least 0 and below chunking.chunk_size")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_WS = "[^" + WS[1:]
 WORD_CHAR = r"\pL\pN_"
 TOKEN = rf"([{WORD_CHAR}]+|[^{WORD_CHAR}{WS[1:-1]}])"
 WORD = r"([\pL\p{Nl}\p{No}]+)"
@@ -38,6 +37,11 @@ def token_count(text: str | Column) -> Column:
     return F.size(tokens(text))
 
 
+def number_of_tokens(text: str | Column) -> Column:
+    """The same as token_count, without the tokens themselves, for use inside lambdas."""
+    return F.regexp_count(_c(text), F.lit(TOKEN))
+
+
 def words(text: str | Column) -> Column:
     """Lower-cased runs of letters, without digits and underscores."""
     return F.transform(F.regexp_extract_all(_c(text), F.lit(WORD), F.lit(1)), F.lower)

@@ -1,36 +1,38 @@
 """Chunkers: a table of documents becomes a table of chunks.
 
 Input columns document_id, text and whatever else is to be carried; output adds chunk_id, position and token_count.
-Fixed chunking is made of Spark expressions alone; the recursive and semantic ones fold over state and run as Arrow
-functions from a text to an array of chunks.
+Chunkers are expressions over the text: splits are transforms level by level, merges and overlaps are folds over
+segments and their numbers of tokens. Only the similarity of neighbouring sentences leaves the JVM, a whole batch at a time.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from rankforge.config import Config
 from rankforge.functions import text as T
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+PARAGRAPHS = ("\n\n", "\n", ". ", " ")
+STRINGS = "array<string>"
 
 
-def count(text: str) -> int:
-    return len(TOKEN.findall(text))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def window_texts(tokens: Column, size: int, overlap: int) -> Column:
     """Windows of `size` tokens at every step of size - overlap; a short later window is joined to the one before, and ends the list.
 
-    `tokens` must be a column, not an expression: lambdas evaluate what they mention for every element.
+    `tokens` must be a column or a lambda's variable, not an expression: lambdas evaluate what they mention for every element.
     """
     step, n = max(1, size - overlap), F.size(tokens)
     least = max(15, size // 3) if size >= 30 else 0
@@ -42,139 +44,163 @@ def window_texts(tokens: Column, size: int, overlap: int) -> Column:
         own = F.slice(tokens, i * step + 1, size)
         return F.array_join(F.when((i == kept - 1) & (kept < full), F.concat(own, F.slice(tokens, kept * step + 1, size))).otherwise(own), " ")
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), kept - 1), text_of)).otherwise(F.array().cast("array<string>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), kept - 1), text_of)).otherwise(F.array().cast(STRINGS))
 
 
-def _windows(tokens: list[str], size: int) -> list[str]:
-    out: list[list[str]] = []
-    for at in range(0, len(tokens), size):
-        window = tokens[at : at + size]
-        if out and size >= 30 and len(window) < max(15, size // 3):
-            out[-1] = out[-1] + window
-            break
-        out.append(window)
-    return [" ".join(w) for w in out]
+def split(text: Column, size: int, separators: tuple[str, ...] = PARAGRAPHS) -> Column:
+    """Segments of a text: at each separator in turn whatever is too long is split, if that gives several parts; what then still is becomes windows of tokens."""
+    long = lambda s: T.number_of_tokens(s) > size
+    segments = F.array(text)
+    for separator in separators:
+        end = (lambda p: F.when(F.endswith(p, F.lit(".")), p).otherwise(F.concat(p, F.lit(".")))) if separator == ". " else (lambda p: p)
 
+        def parts(s: Column, pattern: str = separator.replace(".", r"\."), end: Callable = end) -> Column:
+            found = F.filter(F.transform(F.split(s, pattern), T.strip), lambda p: p != "")
+            return let(found, lambda p: F.when(F.size(p) > 1, F.transform(p, end)).otherwise(F.array(s)))
 
-def split(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
-    """Level by level: whatever is still too long is split at the first separator it holds that gives several parts."""
-    if count(text) <= size:
-        return [text.strip()]
-    for k, separator in enumerate(separators):
-        pieces = [p for p in (x.strip() for x in text.split(separator)) if p] if separator in text else []
-        if len(pieces) > 1:
-            if separator == ". ":
-                pieces = [p if p.endswith(".") else p + "." for p in pieces]
-            # deeper levels always lack the first separator of the level above
-            return [s for p in pieces for s in split(p, size, separators[1:])]
-    return _windows(TOKEN.findall(text), size)
+        segments = F.flatten(F.transform(segments, lambda s: F.when(long(s), parts(s)).otherwise(F.array(s))))
+    windows = lambda s: let(T.tokens(s), lambda t: window_texts(t, size, 0))
+    return F.flatten(F.transform(segments, lambda s: F.when(long(s), windows(s)).otherwise(F.array(T.strip(s)))))
 
 
-def merge(segments: list[str], size: int) -> list[str]:
+def merge(segments: Column, size: int) -> Column:
     """Neighbouring segments joined by a blank line while they fit; their token counts add up."""
-    out: list[str] = []
-    held, total = "", 0
-    for s in segments:
-        n = count(s)
-        if total + n <= size:
-            held, total = (f"{held}\n\n{s}".strip() if held else s), total + n
-            continue
-        if held:
-            out.append(held.strip())
-        held, total = s, n
-    return [*out, held.strip()] if held else out
-
-
-def _finished(chunks: list[str], size: int) -> list[str]:
-    tidy = (re.sub(r"\n{3,}", "\n\n", c).strip() for c in chunks)
-    return [c for c in tidy if count(c) >= max(1, min(15, size // 2))]
-
-
-def recursive_texts(text: str, size: int, overlap: int) -> list[str]:
-    out: list[str] = []
-    for chunk in merge(split(text, size, ("\n\n", "\n", ". ", " ")), size):
-        if out and overlap > 0:
-            chunk = " ".join(TOKEN.findall(out[-1])[-overlap:]) + "\n\n" + chunk
-        out.append(chunk)
-    return _finished(out, size)
-
-
-def lexical_vector(sentence: str) -> Counter:
-    return Counter(t.lower() for t in TOKEN.findall(sentence) if t.isalnum())
-
-
-def cosine(a: Counter, b: Counter) -> float:
-    norms = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
-    return sum(v * b[t] for t, v in a.items() if t in b) / norms if norms else 0.0
-
-
-def semantic_texts(text: str, size: int, overlap: int, threshold: float, least: int, encode: Callable[[list[str]], list] | None = None) -> list[str]:
-    """Breaks before a sentence that would make the chunk too long, or that differs from the one before once the chunk has `least` sentences."""
-    found = [s for s in (x.strip() for x in SENTENCE_END.split(text)) if s]
-    if len(found) < 2:
-        return recursive_texts(text, size, overlap) if found else []
-    if encode:
-        v = encode(found)
-        near = [float(sum(a * b for a, b in zip(x, y))) for x, y in zip(v, v[1:])]
-    else:
-        bags = [lexical_vector(s) for s in found]
-        near = [cosine(x, y) for x, y in zip(bags, bags[1:])]
-    groups, held = [], [found[0]]
-    total = count(found[0])
-    for sentence, similarity in zip(found[1:], near):
-        n = count(sentence)
-        if total + n > size or (len(held) >= least and similarity < threshold):
-            groups.append(held)
-            held, total = [], 0
-        held.append(sentence)
-        total += n
-    groups.append(held)
-    out: list[str] = []
-    for g in groups:
-        chunk = " ".join(g)
-        out += [chunk] if count(chunk) <= size else merge(split(chunk, size, (". ", " ")), size)
-    return _finished(out, size)
-
-
-def _by_function(cut: Callable[[str], list[str]]) -> Column:
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t) if t else [])
-
-    return chunks("text")
-
-
-def encoder(name: str | None) -> Callable[[list[str]], list] | None:
-    """The sentence encoder, if its library and weights are at hand; else None, and bags of words are compared."""
+    counted = F.transform(segments, lambda s: F.struct(s.alias("s"), T.number_of_tokens(s).alias("n")))
+    start = F.struct(F.array().cast(STRINGS).alias("out"), F.lit("").alias("held"), F.lit(0).alias("total"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = a["total"] + x["n"] <= size
+        joined = F.when(a["held"] == "", x["s"]).otherwise(F.concat(a["held"], F.lit("\n\n"), x["s"]))
+        return F.struct(
+            F.when(fits | (a["held"] == ""), a["out"]).otherwise(F.array_append(a["out"], a["held"])).alias("out"),
+            F.when(fits, T.strip(joined)).otherwise(x["s"]).alias("held"),
+            (F.when(fits, a["total"]).otherwise(0) + x["n"]).alias("total"),
+        )
+
+    return F.aggregate(counted, start, step, lambda a: F.when(a["held"] == "", a["out"]).otherwise(F.array_append(a["out"], T.strip(a["held"]))))
+
+
+def with_overlap(chunks: Column, overlap: int) -> Column:
+    """Every chunk but the first behind the last `overlap` tokens of the one before it, which has its own overlap already."""
+    if overlap <= 0:
+        return chunks
+    before = lambda a: T.tail_tokens(F.element_at(a, -1), overlap)
+    return F.aggregate(chunks, F.array().cast(STRINGS), lambda a, c: F.array_append(a, F.when(F.size(a) == 0, c).otherwise(F.concat(before(a), F.lit("\n\n"), c))))
+
+
+def finished(chunks: Column, size: int) -> Column:
+    """Tidied chunks without those of too few tokens."""
+    return F.filter(F.transform(chunks, T.remove_empty_lines), lambda c: T.number_of_tokens(c) >= max(1, min(15, size // 2)))
+
+
+def recursive_texts(text: Column, size: int, overlap: int) -> Column:
+    return finished(with_overlap(merge(split(text, size), size), overlap), size)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def neighbour_cosines(bags: pa.Array) -> pa.Array:
+    """Cosines of the word counts of neighbouring sentences, from their words; for all texts of a batch at once."""
+    sentences = bags.flatten()
+    texts = pc.fill_null(pc.list_value_length(bags), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = pc.dictionary_encode(sentences.flatten())
+    width = len(known.dictionary) + 1
+    key, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + known.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    norm = np.sqrt(np.bincount(key // width, weights=n.astype(np.float64) ** 2, minlength=len(sizes)))
+    # a word's count meets its count in the next sentence, one row of keys further
+    at = np.searchsorted(key, key + width)
+    at[at == len(key)] = 0
+    same = key[at] == key + width
+    dot = np.bincount(key[same] // width, weights=(n * n[at])[same].astype(np.float64), minlength=len(sizes))
+    scale = norm[:-1] * norm[1:]
+    near = np.where(scale > 0, dot[:-1] / np.where(scale > 0, scale, 1), 0.0) if len(sizes) > 1 else np.zeros(0)
+    first = np.cumsum(texts) - texts
+    pairs = np.maximum(texts - 1, 0)
+    own = np.repeat(first - (np.cumsum(pairs) - pairs), pairs) + np.arange(pairs.sum())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pairs)]).astype(np.int32)), pa.array(near[own], pa.float64()))
+
+
+def encoded_cosines(model_name: str) -> Callable[[Column], Column]:
+    """Cosines of neighbouring sentences by a sentence-transformers model, loaded once a worker. Needs that library and the weights."""
+
+    @F.pandas_udf("array<double>")
+    def cosines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(model_name)
+        for texts in batches:
+            vectors = [model.encode(list(s), normalize_embeddings=True) if s is not None and len(s) else np.zeros((0, 1)) for s in texts]
+            yield pd.Series([(v[:-1] * v[1:]).sum(axis=1).astype(float) for v in vectors])
+
+    return cosines
+
+
+def has_encoder(name: str | None) -> bool:
+    """Whether sentences are compared by a model: one is named and its library is installed. Weights that are missing are an error of the run."""
     if not name:
-        return None
+        return False
     try:
-        from sentence_transformers import SentenceTransformer
+        import sentence_transformers  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def semantic_texts(text: Column, sentences: Column, near: Column, size: int, overlap: int, threshold: float, least: int) -> Column:
+    """Breaks before a sentence that would make the chunk too long, or that differs from the one before once the chunk has `least` sentences.
+
+    `sentences` and `near`, their neighbours' similarities, are columns.
+    """
+    each = F.transform(sentences, lambda s, i: F.struct(s.alias("s"), T.number_of_tokens(s).alias("n"), F.when(i > 0, F.element_at(near, F.when(i > 0, i).otherwise(1))).alias("near")))
+    start = F.struct(F.array().cast(STRINGS).alias("out"), F.lit("").alias("held"), F.lit(0).alias("count"), F.lit(0).alias("total"))
+
+    def step(a: Column, x: Column) -> Column:
+        breaks = (a["count"] > 0) & ((a["total"] + x["n"] > size) | ((a["count"] >= least) & (x["near"] < threshold)))
+        return F.struct(
+            F.when(breaks, F.array_append(a["out"], a["held"])).otherwise(a["out"]).alias("out"),
+            F.when(breaks | (a["count"] == 0), x["s"]).otherwise(F.concat(a["held"], F.lit(" "), x["s"])).alias("held"),
+            (F.when(breaks, 0).otherwise(a["count"]) + 1).alias("count"),
+            (F.when(breaks, 0).otherwise(a["total"]) + x["n"]).alias("total"),
+        )
+
+    groups = F.aggregate(each, start, step, lambda a: F.array_append(a["out"], a["held"]))
+    cut = F.flatten(F.transform(groups, lambda g: F.when(T.number_of_tokens(g) <= size, F.array(g)).otherwise(merge(split(g, size, (". ", " ")), size))))
+    return F.when(F.size(sentences) > 1, finished(cut, size)).when(F.size(sentences) == 1, recursive_texts(text, size, overlap)).otherwise(F.array().cast(STRINGS))
+
+
+PREPARE: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+CHUNKERS: dict[str, Callable[[dict], Column]] = {}
+
+
+def register_chunker(name: str, texts: Callable[[dict], Column], prepare: Callable[[DataFrame, dict], DataFrame] | None = None) -> None:
+    """A chunking strategy: `texts` gives the array of chunk texts from the settings; `prepare` may add columns named __... to the documents before."""
+    CHUNKERS[name] = texts
+    if prepare:
+        PREPARE[name] = prepare
+
 
-        model = SentenceTransformer(name)
-    except Exception:  # no library, no weights, no network
-        return None
-    return lambda s: model.encode(s, normalize_embeddings=True)
+def _sentences(documents: DataFrame, c: dict) -> DataFrame:
+    documents = documents.withColumn("__sentences", T.sentences("text"))
+    if has_encoder(c["semantic_encoder_model"]):
+        return documents.withColumn("__near", encoded_cosines(c["semantic_encoder_model"])(F.col("__sentences")))
+    bag = lambda s: F.transform(F.filter(T.tokens(s), lambda t: t.rlike(r"^[\pL\pN]+$")), F.lower)
+    return documents.withColumn("__near", neighbour_cosines(F.transform(F.coalesce("__sentences", F.array().cast(STRINGS)), bag)))
 
 
-def chunk_texts(config: Config) -> Column:
-    """The array of chunk texts of column `text`, for fixed chunks of column `__tokens`."""
-    c = config["chunking"]
-    size, overlap = c["chunk_size"], c["overlap"]
-    if c["strategy"] == "fixed":
-        return window_texts(F.col("__tokens"), size, overlap)
-    if c["strategy"] == "recursive":
-        return _by_function(lambda t: recursive_texts(t, size, overlap))
-    threshold, least, name = c["semantic_similarity_threshold"], c["semantic_min_sentences"], c["semantic_encoder_model"]
-    return _by_function(lambda t: semantic_texts(t, size, overlap, threshold, least, encoder(name)))
+register_chunker("fixed", lambda c: window_texts(F.col("__tokens"), c["chunk_size"], c["overlap"]), lambda d, c: d.withColumn("__tokens", T.tokens("text")))
+register_chunker("recursive", lambda c: F.when(F.col("text") != "", recursive_texts(F.col("text"), c["chunk_size"], c["overlap"])))
+register_chunker(
+    "semantic", lambda c: semantic_texts(F.col("text"), F.col("__sentences"), F.col("__near"), c["chunk_size"], c["overlap"], c["semantic_similarity_threshold"], c["semantic_min_sentences"]), _sentences
+)
 
 
 def chunk_documents(documents: DataFrame, config: Config) -> DataFrame:
-    """One row a chunk; positions count from 0 within the document."""
+    """One row a chunk; positions count from 0 within the document. Null and empty texts have no chunks."""
+    settings, strategy = config["chunking"], config["chunking.strategy"]
     carried = [c for c in documents.columns if c not in ("text", "token_count", "position", "chunk_id")]
-    if config["chunking.strategy"] == "fixed":
-        documents = documents.withColumn("__tokens", T.tokens("text"))
-    cut = documents.select(*carried, F.posexplode(chunk_texts(config)).alias("position", "text"))
+    if strategy in PREPARE:
+        documents = PREPARE[strategy](documents, settings)
+    cut = documents.select(*carried, F.posexplode(CHUNKERS[strategy](settings)).alias("position", "text"))
     return cut.select(
         F.concat_ws(":", F.col("document_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), *carried, "position", T.strip("text").alias("text"), T.token_count("text").alias("token_count")
     )

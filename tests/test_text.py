@@ -1,11 +1,11 @@
 """Text functions against plain Python, and the cases of the fixtures."""
 
+import math
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankforge.config import Config, ConfigError
@@ -96,11 +96,87 @@ def test_fixed_windows(spark):
         assert df.select(chunking.window_texts(F.col("t"), size, overlap).alias("c")).first().c == python_windows(text.split(), size, overlap), (len(text.split()), size, overlap)
 
 
+TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+def count(text):
+    return len(TOKEN.findall(text))
+
+
+def model_split(text, size, separators):
+    """One text after another, by recursion."""
+    if count(text) <= size:
+        return [text.strip()]
+    for i, sep in enumerate(separators):
+        parts = [p.strip() for p in text.split(sep) if p.strip()]
+        if len(parts) > 1:
+            dotted = [p if sep != ". " or p.endswith(".") else p + "." for p in parts]
+            return sum((model_split(p, size, separators[i + 1 :]) for p in dotted), [])
+    return python_windows(TOKEN.findall(text), size, 0)
+
+
+def model_merge(segments, size):
+    out, n = [], 0
+    for s in segments:
+        if out and n + count(s) <= size:
+            out[-1], n = f"{out[-1]}\n\n{s}", n + count(s)
+        else:
+            out, n = [*out, s], count(s)
+    return out
+
+
+def model_finished(chunks, size):
+    return [c for c in (re.sub(r"\n{3,}", "\n\n", c).strip() for c in chunks) if count(c) >= max(1, min(15, size // 2))]
+
+
+def model_recursive(text, size, overlap):
+    out = []
+    for c in model_merge(model_split(text, size, chunking.PARAGRAPHS), size):
+        out.append(" ".join(TOKEN.findall(out[-1])[-overlap:]) + "\n\n" + c if out and overlap else c)
+    return model_finished(out, size)
+
+
+def model_semantic(text, size, overlap, threshold, least):
+    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    if len(sentences) < 2:
+        return model_recursive(text, size, overlap) if sentences else []
+    bags = [Counter(t.lower() for t in TOKEN.findall(s) if t.isalnum()) for s in sentences]
+    norm = lambda b: math.sqrt(sum(v * v for v in b.values()))
+    groups = [[sentences[0]]]
+    for s, a, b in zip(sentences[1:], bags, bags[1:]):
+        near = sum(v * b[t] for t, v in a.items()) / (norm(a) * norm(b)) if a and b else 0.0
+        if sum(map(count, groups[-1])) + count(s) > size or len(groups[-1]) >= least and near < threshold:
+            groups.append([])
+        groups[-1].append(s)
+    out = []
+    for g in map(" ".join, groups):
+        out += [g] if count(g) <= size else model_merge(model_split(g, size, (". ", " ")), size)
+    return model_finished(out, size)
+
+
 def chunks(spark, text, **settings):
     df = spark.createDataFrame([("d", text)], "document_id string, text string")
     return chunking.chunk_documents(df, Config({"chunking": settings})).orderBy("position").collect()
 
 
+@pytest.mark.parametrize("size, overlap", [(250, 40), (40, 5), (12, 0), (3, 2)])
+def test_chunkers_against_models(spark, sf_dir, size, overlap):
+    real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    made = ["One. Two. Three four five. " * 30, "p one\n\np two\n\n\n\n" * 20, "x" * 50 + " y" * 400, "a.b.c . d. ! ? e. \n f" * 40, "\n\nlead " + "word " * 300, "!!! ??? ... " * 60]
+    texts = SAMPLES + made + real
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "document_id int, text string")
+    models = {"recursive": lambda t: model_recursive(t, size, overlap), "semantic": lambda t: model_semantic(t, size, overlap, 0.3, 2)}
+    for strategy, model in models.items():
+        c = Config({"chunking": {"strategy": strategy, "chunk_size": size, "overlap": overlap, "semantic_similarity_threshold": 0.3, "semantic_min_sentences": 2}})
+        got = {}
+        for r in chunking.chunk_documents(df, c).orderBy("document_id", "position").collect():
+            got.setdefault(r.document_id, []).append(r.text)
+        for i, t in enumerate(texts):
+            want = [x.strip() for x in model(t)] if t else []
+            assert got.get(i, []) == want, (strategy, t[:80])
+        assert -1 not in got
+
+
 def test_chunkers(spark):
     fixed = chunks(spark, "one two three four five six seven eight nine", strategy="fixed", chunk_size=5, overlap=2)
     assert len(fixed) == 3 and fixed[0].text.endswith("five") and fixed[1].text.startswith("four") and [c.chunk_id for c in fixed] == ["d:0", "d:1", "d:2"]
@@ -114,14 +190,6 @@ def test_chunkers(spark):
         assert chunks(spark, "", strategy=strategy) == [] and chunks(spark, None, strategy=strategy) == []
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab. \n!", max_size=200), st.integers(3, 30))
-def test_recursive_chunks_fit(text, size):
-    for c in chunking.recursive_texts(text, size, 0):
-        assert max(1, min(15, size // 2)) <= chunking.count(c)
-    assert all(chunking.count(s) <= size or size >= 30 for s in chunking.split(text, size, ("\n\n", "\n", ". ", " ")))
-
-
 def test_config(tmp_path):
     assert Config()["chunking.chunk_size"] == 250
     assert Config({"query_enhancement": {"methods": ["expansion", "none", "expansion"]}})["query_enhancement.methods"] == ["expansion"]
