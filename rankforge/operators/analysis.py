@@ -65,6 +65,12 @@ REASON = "Best balance of " + ", ".join(("quality", "latency", "embedding cost",
 EXPLAINED = (("Retriever", "retriever"), ("Embedding model", "embedding_model"), ("Chunking strategy", "chunking_strategy"), ("Query enhancement", "query_enhancement"), ("Reranker", "reranker"))
 
 
+def best_runs(experiments: DataFrame, by: str) -> DataFrame:
+    """(by, runs, best, worst, mean, best_id) of scored experiments: of a sweep, a grid or a search by what varies in it. Ties: the newer, then the later id."""
+    order = F.struct(F.round("overall_score", 12), "timestamp", "experiment_id")
+    return experiments.groupBy(by).agg(F.count("*").alias("runs"), F.max("overall_score").alias("best"), F.min("overall_score").alias("worst"), F.avg("overall_score").alias("mean"), F.max_by("experiment_id", order).alias("best_id"))
+
+
 def component_averages(experiments: DataFrame) -> DataFrame:
     """(component, value, recall, latency) for the four components that vary."""
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(label).alias("component"), F.col(c).alias("value")) for i, (c, label) in enumerate(COMPONENTS.items())]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankforge.config import Config
 from rankforge.functions import text as T
-from rankforge.operators import analysis, bm25, chunking, dense, evaluation, preprocess, ranking
+from rankforge.operators import analysis, bm25, chunking, dense, evaluation, ranking
 
 K, K1, B, RRF_K, TOP_N = 10, 1.5, 0.75, 60, 5
 GRID = [(0, 0.8, 0.3), (1, 1.2, 0.75), (2, 1.5, 0.75), (3, 2.2, 0.95)]
@@ -140,12 +140,6 @@ def blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.sha2(T.remove_empty_lines("text"), 256).alias("cleaned"))
 
 
-@register()
-def preprocess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = preprocess.preprocess(documents(spark, sf_dir).select("doc_id", "text"), Config())
-    return out.select("doc_id", F.sha2("text", 256).alias("cleaned"), F.array_join("preprocessing_steps", ",").alias("steps"))
-
-
 @register("SELECT doc_id, substr(sha256(source || '::' || text), 1, 16) AS document_id FROM documents")
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.document_id("source", "text").alias("document_id"))
@@ -178,21 +172,6 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(spark, sf_dir, "fixed").select("chunk_id", "token_count", F.sha2("text", 256).alias("text_hash"))
 
 
-@register()
-def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(spark, sf_dir, "recursive").select("chunk_id", "position", "token_count", F.sha2("text", 256).alias("text_hash"))
-
-
-@register()
-def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(spark, sf_dir, "semantic").select("chunk_id", "position", "token_count", F.sha2("text", 256).alias("text_hash"))
-
-
-@register()
-def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_statistics(_chunked(spark, sf_dir, "recursive"))
-
-
 @register(f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS ss FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS sentence FROM s),
@@ -299,21 +278,6 @@ def dense_knn_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.aggregate_metrics(evaluation.query_metrics(flags, totals, K)))
 
 
-@register()
-def hashing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = dense.hashing_embedding(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return v.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
-
-
-@register()
-def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ranking.vocabulary(chunks(spark, sf_dir)).cache()
-    asked = benchmark(spark, sf_dir)
-    term_vectors = dense.hashing_embedding(words.select("term", F.col("term").alias("text")), "term")
-    query_vectors = dense.hashing_embedding(asked.select("query_id", F.col("query").alias("text")), "query_id")
-    return ranking.expand(asked, words, term_vectors, query_vectors).select("query_id", "enhanced_query", F.array_join("expansion_terms", " ").alias("terms"))
-
-
 @register("SELECT sha256('model::' || text) AS key FROM documents WHERE text NOT IN (SELECT text FROM benchmark UNION ALL SELECT d.text FROM documents d JOIN labels l USING (doc_id)) GROUP BY text")
 def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cache that holds the labelled documents and the benchmark passages would have to encode."""
@@ -370,12 +334,6 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@register()
-def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = evaluation.train_test_split(benchmark(spark, sf_dir))
-    return train.select("query_id", F.lit("train").alias("split")).union(test.select("query_id", F.lit("test")))
-
-
 # -- experiments: one a day and event type
 
 EXPERIMENT_SQL = """ev AS (SELECT *, event_type || '-' || strftime(ts, '%Y%m%d') AS experiment_id FROM events),
@@ -445,8 +403,12 @@ def tradeoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
+    from rankforge import operator_queries  # noqa: F401, registers its own
+
     return dict(_registry)
 
 
 def oracle_sql() -> dict[str, str]:
+    from rankforge import operator_queries  # noqa: F401, registers its own
+
     return dict(_oracle)
