@@ -19,7 +19,7 @@ COMMANDS: dict[str, list[str]] = {
     "compare": ["experiment_directory", "experiment_ids"], "report": ["experiment_directory", "experiment_ids"], "leaderboard": ["experiment_directory", "sort_by"],
 }
 METHODS = {"search": "retrieve", "benchmark": "evaluate", "sweep": "benchmark", "grid-search": "benchmark", "optuna-search": "search", "recommend": "recommendation", "visualize": "visualizations", "report": "reports"}
-REQUIRED = {"source", "corpus_path", "index_path", "query", "parameters_path", "search_space_path"}
+REQUIRED = {"source", "corpus_path", "query", "parameters_path", "search_space_path"}
 
 
 def parser() -> argparse.ArgumentParser:

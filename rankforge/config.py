@@ -34,17 +34,23 @@ DEFAULTS: dict[str, Any] = dict(
 )
 CHOICES = {
     "device": ("auto", "cuda", "mps", "cpu"),
-    "embedding.backend": ("auto", "sentence_transformers", "hashing"),
     "embedding.device": ("auto", "cuda", "mps", "cpu"),
-    "retrieval.retriever": ("bm25", "dense", "hybrid"),
-    "retrieval.fusion.strategy": ("reciprocal_rank_fusion",),
-    "query_enhancement.method": ("none", "expansion"),
-    "reranking.backend": ("auto", "cross_encoder", "lexical"),
     "index.dense.metric": ("cosine",),
 }
 POSITIVE = ("chunking.chunk_size", "chunking.semantic_min_sentences", "embedding.batch_size", "embedding.fallback_dimension", "retrieval.top_k", "retrieval.fusion.rrf_k", "reranking.top_n", "query_enhancement.expansion.vocabulary_size")
 
 
+def _registered() -> dict[str, tuple]:
+    """The names that components are registered under, by the setting that names them."""
+    from rankforge.operators import chunking, dense, ranking
+    from rankforge.plans import retrieval
+
+    return {
+        "chunking.strategy": tuple(chunking.CHUNKERS), "embedding.backend": ("auto", *dense.BACKENDS), "retrieval.retriever": tuple(retrieval.RETRIEVERS),
+        "retrieval.fusion.strategy": tuple(ranking.FUSIONS), "query_enhancement.method": ("none", *retrieval.ENHANCERS), "reranking.backend": ("auto", *ranking.RERANKERS),
+    }
+
+
 class ConfigError(ValueError):
     """A value outside its domain."""
 
@@ -94,16 +100,14 @@ class Config:
         return Config(values)
 
     def _validate(self) -> None:
-        for path, allowed in CHOICES.items():
+        for path, allowed in (CHOICES | _registered()).items():
             if self[path] not in allowed:
                 raise ConfigError(f"{path} must be one of {', '.join(allowed)}; it is {self[path]!r}")
         for path in POSITIVE:
             if not self[path] > 0:
                 raise ConfigError(f"{path} must be above zero")
-        from rankforge.operators.chunking import CHUNKERS
-
-        if self["chunking.strategy"] not in CHUNKERS:
-            raise ConfigError(f"chunking.strategy must be one of {', '.join(CHUNKERS)}; it is {self['chunking.strategy']!r}")
+        if unknown := set(self.methods) - set(_registered()["query_enhancement.method"]):
+            raise ConfigError(f"no query enhancement {', '.join(sorted(unknown))}")
         size, overlap = self["chunking.chunk_size"], self["chunking.overlap"]
         if not 0 <= overlap < size:
             raise ConfigError("chunking.overlap must be at least 0 and below chunking.chunk_size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -35,16 +35,23 @@ def cross_encoder(model_name: str) -> Callable[[str, str], Column]:
 
     def score(query: str, text: str) -> Column:
         @F.pandas_udf("double")
-        def predict(q: pd.Series, t: pd.Series) -> pd.Series:
+        def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             from sentence_transformers import CrossEncoder
 
-            return pd.Series(CrossEncoder(model_name).predict(list(zip(q, t))).astype(float))
+            model = CrossEncoder(model_name)
+            for q, t in batches:
+                yield pd.Series(model.predict(list(zip(q, t)))).astype(float)
 
         return predict(F.col(query), F.col(text))
 
     return score
 
 
+# by name: rankings and k to one ranking; the scores of a reranker from its configuration section
+FUSIONS: dict[str, Callable[[list[DataFrame], int, dict], DataFrame]] = {"reciprocal_rank_fusion": lambda lists, k, c: reciprocal_rank_fusion(lists, k, c["rrf_k"])}
+RERANKERS: dict[str, Callable[[dict], Callable[[str, str], Column]]] = {"lexical": lambda c: lexical_overlap, "cross_encoder": lambda c: cross_encoder(c["model_name"])}
+
+
 def rerank(results: DataFrame, queries: DataFrame, chunks: DataFrame, top_n: int, score: Callable[[str, str], Column] = lexical_overlap) -> DataFrame:
     """Scores and ranks by the original query; ties keep the earlier rank; cut to top_n. Texts join only the ranked chunks."""
     joined = results.drop("score").join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
 import random
 import time
 import uuid
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from rankforge.config import Config
 from rankforge.functions.text import notes as joined
 from rankforge.operators import chunking, dense, evaluation
+from rankforge.plans import tpe
 from rankforge.plans.retrieval import Retriever
 from rankforge.sources import storage, stores
 
@@ -41,35 +41,18 @@ def check_space(space: dict[str, Any], trials: int, objective: str) -> None:
         raise ValueError("the objective must be ndcg")
     if not space:
         raise ValueError("the search space is empty")
-    for path in space:
+    for path, spec in space.items():
+        tpe.checked(path, spec)
         if path == "retrieval.retriever":
             raise ValueError("retrieval.retriever is fixed by the configuration; search each retriever separately")
         if path.startswith("query_enhancement."):
             raise ValueError("query enhancement settings are variants to benchmark, not parameters to search")
 
 
-def suggest(rng: random.Random, path: str, spec: Any) -> Any:
-    """A seeded draw from a list or a specification of type categorical, int (step) or float (log)."""
-    if isinstance(spec, list):
-        spec = {"choices": spec}
-    if not isinstance(spec, dict):
-        raise ValueError(f"the space of {path} must be a list or a mapping")
-    kind = spec.get("type", "categorical")
-    low, high = spec.get("low"), spec.get("high")
-    if kind == "categorical":
-        if not isinstance(spec.get("choices"), list) or not spec["choices"]:
-            raise ValueError(f"{path} needs a list of choices")
-        return rng.choice(spec["choices"])
-    if kind == "int":
-        step = spec.get("step", 1)
-        if not all(isinstance(x, int) for x in (low, high, step)) or step <= 0:
-            raise ValueError(f"{path} needs whole low and high and a step above zero")
-        return rng.randrange(low, high + 1, step)
-    if kind == "float":
-        if not all(isinstance(x, (int, float)) for x in (low, high)):
-            raise ValueError(f"{path} needs numbers as low and high")
-        return math.exp(rng.uniform(math.log(low), math.log(high))) if spec.get("log") else rng.uniform(low, high)
-    raise ValueError(f"{path} has the unknown type {kind}")
+def best_of(results: list[dict[str, Any]]) -> dict[str, Any] | None:
+    """The best run of a sweep, a grid or a search by nDCG; among equals the later."""
+    done = [r for r in results if r.get("ndcg_at_k") is not None]
+    return max(enumerate(done), key=lambda r: (r[1]["ndcg_at_k"], r[0]))[1] if done else None
 
 
 class Runner:
@@ -83,10 +66,9 @@ class Runner:
         self.spark, self.store, self.mode = spark, stores.ExperimentStore(spark, directory), mode
 
     def _chunks(self, config: Config, corpus: str, mode: str, overrides: dict[str, Any]) -> DataFrame:
-        documents, chunks = stores.load_corpus(self.spark, corpus)
         if mode in ("sweep", "grid_search", "optuna") and RECHUNKED & set(overrides):
-            return chunking.chunk_documents(documents, config)
-        return chunks
+            return chunking.chunk_documents(stores.load_preprocessed(self.spark, corpus), config)
+        return stores.load_corpus(self.spark, corpus)[1]
 
     def _record(self, config: Config, corpus: str, dataset: str, mode: str, notes: str | None) -> dict[str, Any]:
         c, q = config, "+".join(config.methods) or "none"
@@ -109,7 +91,7 @@ class Runner:
             evaluation.check_alignment(labels, names)
             vectors = None
             record["embedding_time_ms"] = 0.0
-            if retriever.kind != "bm25":
+            if retriever.embeds:
                 vectors = retriever.embed(chunks.select("chunk_id", "text"), "chunk_id").cache()
                 record["embedding_time_ms"] = timed(lambda: noop(vectors))[1]
             _, record["index_build_time_ms"] = timed(lambda: self._materialise(retriever.build(chunks, vectors)))
@@ -135,9 +117,8 @@ class Runner:
 
     @staticmethod
     def _materialise(retriever: Retriever) -> None:
-        for df in (retriever.lexical.chunks if retriever.lexical else None, retriever.vectors, retriever.terms):
-            if df is not None:
-                noop(df)
+        for df in retriever.tables():
+            noop(df)
 
     def _answer(self, retriever: Retriever, queries: DataFrame, record: dict[str, Any]) -> DataFrame:
         schema = "query_id int, chunk_id string, score double, rank int, retriever string, reranked boolean"
@@ -172,31 +153,16 @@ class Runner:
         return [self._varied(config, o, corpus, dataset, "ablation", joined(notes, f"ablation:{name}")) for name, o in [("baseline", {}), *variants.items()]]
 
     def search(self, config: Config, corpus: str, dataset: str, space: dict[str, Any], trials: int, objective: str = "ndcg", notes: str | None = None, seed: int | None = None) -> tuple[list[dict], dict, float]:
-        """Seeded random draws (the TPE sampler of optuna where it is installed); among equals the later trial is best."""
+        """A tree of Parzen estimators proposes each trial from those before it; among equals the later trial is best."""
         check_space(space, trials, objective)
         results: list[dict] = []
 
         def trial(n: int, overrides: dict[str, Any]) -> float:
-            results.append(self._varied(config, overrides, corpus, dataset, "optuna", joined(notes, f"search:trial={n},overrides={overrides}")))
+            results.append(self._varied(config, overrides, corpus, dataset, "optuna", joined(notes, f"search:trial={n},overrides={overrides}")) | {"search_overrides": overrides})
             return results[-1]["ndcg_at_k"]
 
-        try:
-            import optuna
-        except ImportError:
-            rng = random.Random(seed)
-            for n in range(trials):
-                trial(n, {p: suggest(rng, p, s) for p, s in space.items()})
-        else:
-            study = optuna.create_study(direction="maximize", sampler=optuna.samplers.TPESampler(seed=seed))
-            study.optimize(lambda t: trial(t.number, {p: _ask(t, p, s) for p, s in space.items()}), n_trials=trials)
-        best = max(enumerate(results), key=lambda r: (r[1]["ndcg_at_k"], r[0]))[1]
+        for n in range(trials):
+            seen = [(r["search_overrides"], r["ndcg_at_k"]) for r in results]
+            trial(n, tpe.propose(random.Random(f"{seed}-{n}") if seed is not None else random.Random(), space, seen))
+        best = best_of(results)
         return results, best, best["ndcg_at_k"]
-
-
-def _ask(trial: Any, path: str, spec: Any) -> Any:
-    suggest(random.Random(0), path, spec)  # the same errors for a bad specification
-    if isinstance(spec, list) or spec.get("type", "categorical") == "categorical":
-        return trial.suggest_categorical(path, spec if isinstance(spec, list) else spec["choices"])
-    if spec["type"] == "int":
-        return trial.suggest_int(path, spec["low"], spec["high"], step=spec.get("step", 1))
-    return trial.suggest_float(path, float(spec["low"]), float(spec["high"]), log=bool(spec.get("log")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import Any
 
@@ -44,6 +45,19 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return docs, inner.select(*named)
 
 
+def load_preprocessed(spark: SparkSession, corpus: str) -> DataFrame:
+    """The documents to be chunked anew: those preprocessed beside the corpus, as a table or a JSON list, or else the corpus's own."""
+    beside = str(corpus).rstrip("/").rpartition("/")[0] or "."
+    if storage.exists(spark, f"{beside}/preprocessed_documents"):
+        return spark.read.parquet(f"{beside}/preprocessed_documents")
+    if storage.exists(spark, f"{beside}/preprocessed_documents.json"):
+        found = spark.read.option("multiLine", True).json(f"{beside}/preprocessed_documents.json")
+        if "text" not in found.columns:
+            raise ValueError(f"{beside}/preprocessed_documents.json must hold a list of documents")
+        return found.withColumnRenamed("id", "document_id") if "id" in found.columns else found
+    return load_corpus(spark, corpus)[0]
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """One JSON list in a file, for tables of documents to be exchanged."""
     storage.write_json_list(df, path)
@@ -90,11 +104,25 @@ def parse_examples(content: Any) -> list[tuple]:
     return rows
 
 
-def load_examples(spark: SparkSession, path: str) -> DataFrame:
-    """A labelled dataset in YAML or JSON."""
+def _yaml(text: str) -> Any:
     import yaml
 
-    return spark.createDataFrame(parse_examples(yaml.safe_load(storage.read_text(spark, path))), EXAMPLES)
+    return yaml.safe_load(text)
+
+
+def _json_lines(text: str) -> Any:
+    return [json.loads(line) for line in text.splitlines() if line.strip()]
+
+
+DATASETS: dict[str, Callable[[str], Any]] = {".yaml": _yaml, ".yml": _yaml, ".json": json.loads, ".jsonl": _json_lines}  # by extension: what parse_examples takes from the text of a file
+
+
+def load_examples(spark: SparkSession, path: str) -> DataFrame:
+    """A labelled dataset in a format that DATASETS knows."""
+    suffix = "." + str(path).rpartition(".")[2].lower()
+    if suffix not in DATASETS:
+        raise ValueError(f"no dataset loader for {path}")
+    return spark.createDataFrame(parse_examples(DATASETS[suffix](storage.read_text(spark, path))), EXAMPLES)
 
 
 def load_parameters(spark: SparkSession, path: str) -> dict[str, Any]:

@@ -21,6 +21,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session", autouse=True)
+def vectors_kept_elsewhere(tmp_path_factory):
+    """Embedding caches of tests lie in a folder of their own."""
+    from rankforge import config
+
+    config.DEFAULTS["embedding"]["cache_directory"] = str(tmp_path_factory.mktemp("vectors"))
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return DATA

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from rankforge import cli
 from rankforge.config import Config
 from rankforge.operators import analysis
-from rankforge.plans.experiments import Runner, check_space, suggest
+from rankforge.plans.experiments import Runner, check_space
+from rankforge.plans.tpe import propose, suggest
 from rankforge.plans.report import Analysis
 from rankforge.plans.retrieval import DocumentPipeline
 from rankforge.service import Service
@@ -84,6 +85,8 @@ def test_runs_and_analysis(spark, corpus):
 
     view = Analysis(spark, str(corpus / "experiments"), c)
     assert view.history().count() == 8
+    history = view.enriched().collect()
+    assert len(history) == 8 and [r["rank"] for r in history if r.recommended] == [1] and all(r.overall_score for r in history if r["rank"])
     board = view.leaderboard("mrr").collect()
     assert [r["rank"] for r in board] == [1, 2, 3]  # batch runs have no latency and are not ranked
     assert view.recommendation()["experiment_id"] in {r.experiment_id for r in board}
@@ -136,6 +139,81 @@ def test_search_space():
             suggest(rng, "a", bad)
 
 
+def test_a_search_learns():
+    """Trials gather where the values are large."""
+    import random
+
+    space = {"x": {"type": "float", "low": 0.0, "high": 10.0}, "n": {"type": "int", "low": 10, "high": 100, "step": 10}, "c": ["a", "b", "c"]}
+    seen = []
+    for i in range(60):
+        t = propose(random.Random(i), space, seen)
+        assert 0 <= t["x"] <= 10 and t["n"] % 10 == 0 and 10 <= t["n"] <= 100 and t["c"] in space["c"]
+        seen.append((t, -((t["x"] - 7) ** 2) - ((t["n"] - 40) / 10) ** 2 - 20 * (t["c"] != "b")))
+    late, early = [t for t, _ in seen[40:]], [t for t, _ in seen[:10]]
+    assert sum(abs(t["x"] - 7) for t in late) / 20 < 0.6 * sum(abs(t["x"] - 7) for t in early) / 10
+    assert sum(t["c"] == "b" for t in late) > 10 and max(v for _, v in seen) > -2
+
+
+def test_components_by_name(spark, tmp_path, monkeypatch):
+    """What is registered can be named in a configuration, and what is not is refused."""
+    from rankforge.config import ConfigError
+    from rankforge.operators import chunking, dense, ranking
+    from rankforge.plans import retrieval
+
+    for section in ({"chunking": {"strategy": "lines"}}, {"retrieval": {"fusion": {"strategy": "first"}}}, {"query_enhancement": {"enabled": True, "method": "twice"}}, {"reranking": {"backend": "length"}}, {"embedding": {"backend": "ones"}}):
+        with pytest.raises(ConfigError):
+            Config(section)
+    monkeypatch.setitem(chunking.CHUNKERS, "lines", lambda c: F.split("text", "\n"))
+    monkeypatch.setitem(ranking.FUSIONS, "first", lambda lists, k, c: lists[0].where(F.col("rank") <= k))
+    monkeypatch.setitem(ranking.RERANKERS, "length", lambda c: lambda q, t: F.length(t).cast("double"))
+    monkeypatch.setitem(dense.BACKENDS, "ones", dense.Backend(lambda t, k, s: t.select(k, F.array(F.lit(1.0), F.lit(1.0)).alias("vector")), lambda s: "ones"))
+
+    class Twice(retrieval.Expansion):
+        def fit(self, chunks):
+            pass
+
+        def enhance(self, queries, embed):
+            return queries.withColumns({"enhanced_query": F.concat_ws(" ", "query", "query"), "expansion_terms": F.array().cast("array<string>")})
+
+    monkeypatch.setitem(retrieval.ENHANCERS, "twice", Twice)
+    files.register_loader(".rst", files.Loader("rst"))
+    (tmp_path / "a.rst").write_text("one\ntwo words")
+    (tmp_path / "b.log").write_text("not read")
+    docs = files.ingest_path(spark, str(tmp_path))
+    del files.LOADERS[".rst"]
+    c = Config({
+        "chunking": {"strategy": "lines"}, "embedding": {"backend": "ones"}, "retrieval": {"retriever": "hybrid", "top_k": 2, "fusion": {"strategy": "first"}},
+        "query_enhancement": {"enabled": True, "method": "twice"}, "reranking": {"enabled": True, "backend": "length", "top_n": 1},
+    })
+    chunks = chunking.chunk_documents(docs, c)
+    assert [r.text for r in chunks.orderBy("position").collect()] == ["one", "two words"]
+    got = retrieval.Retriever(spark, c).build(chunks).answer("one")
+    assert got["enhanced_query"] == "one one" and [r["text"] for r in got["results"]] == ["two words"] and got["reranking_latency_ms"] > 0 and got["total_latency_ms"] >= got["retrieval_latency_ms"]
+
+
+def test_vectors_are_encoded_once(spark, tmp_path, monkeypatch):
+    from rankforge.operators import dense
+
+    asked = []
+    encode = dense.BACKENDS["hashing"].encode
+    counting = dense.Backend(lambda t, k, s: asked.append(t.count()) or encode(t, k, s), lambda s: "counted", lambda s: 384)
+    monkeypatch.setitem(dense.BACKENDS, "counted", counting)
+    settings = Config({"embedding": {"backend": "counted", "cache_directory": str(tmp_path / "v")}})["embedding"]
+    texts = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "id int, text string")
+    first = {r.id: r.vector for r in dense.embed(texts, "id", settings).collect()}
+    more = texts.union(spark.createDataFrame([(5, "d e")], "id int, text string"))
+    second = {r.id: r.vector for r in dense.embed(more, "id", settings).collect()}
+    assert asked == [3, 1] and all(second[i] == v for i, v in first.items()) and first[1] == first[2] and len(second) == 5
+    plain = {r.id: r.vector for r in dense.embed(more, "id", settings | {"cache_directory": None}).collect()}
+    assert plain == second
+
+
+def test_preprocessed_documents_are_chunked_anew(spark, corpus):
+    assert stores.load_preprocessed(spark, str(corpus / "corpus")).first().document_id == "doc-handbook"
+    (corpus / "preprocessed_documents.json").write_text(json.dumps([{"id": "clean", "text": "cleaned words"}]))
+    assert [r.document_id for r in stores.load_preprocessed(spark, str(corpus / "corpus")).collect()] == ["clean"]
+
+
 def test_datasets(spark, tmp_path):
     assert len(stores.parse_examples({"query": "q", "positive_documents": ["d"]})) == 1
     for bad in ({}, "text", [{"query": " ", "positive_documents": ["d"]}], [{"query": "q", "positive_documents": []}]):
@@ -149,12 +227,17 @@ def test_datasets(spark, tmp_path):
 def test_service_and_cli(spark, folder, corpus, capsys):
     service = Service(spark)
     assert service.handle("GET", "/health")[0] == 200
+    api = service.handle("GET", "/openapi.json")[1]
+    assert set(api["paths"]) >= {"/retrieve", "/experiment/{id}", "/health"} and api["paths"]["/retrieve"]["post"]["requestBody"]["content"]["application/json"]["schema"]["required"] == ["query"]
+    assert all("<table>" in service.handle("GET", p)[1] for p in ("/docs", "/redoc"))
+    below = Config({"output": {"output_directory": str(corpus)}})
+    assert service._by_domain(below, f"{corpus}/legal/processed_corpus.json", "base") == "base/legal" and service._by_domain(below, f"{corpus}/processed_corpus.json", "base") == "base"
     body = {"config": {"ingestion": {"input_directory": str(folder.parent)}, "retrieval": {"retriever": "bm25"}}}
     assert service.handle("POST", "/ingest", body | {"source": str(folder)})[1]["document_count"] == 3
     index = {"config": {"retrieval": {"retriever": "bm25", "top_k": 1}}, "index_path": str(corpus / "index")}
     assert service.handle("POST", "/index", index | {"corpus_path": str(corpus / "corpus")})[1]["chunk_count"] == 3
     status, found = service.handle("POST", "/search", index | {"query": "What is the maternity leave policy?"})
-    assert status == 200 and found["results"][0]["chunk_id"] == "doc-handbook:0"
+    assert status == 200 and found["results"][0]["chunk_id"] == "doc-handbook:0" and found["total_latency_ms"] >= found["retrieval_latency_ms"] > 0
     assert service.handle("POST", "/ingest", {})[0] == 422 and service.handle("POST", "/benchmark", {"corpus_path": "x", "mode": "odd"})[0] == 400
     assert service.handle("GET", "/none")[0] == 404 and service.handle("GET", f"/experiment/exp-none?experiment_directory={corpus}/experiments")[0] == 404
     assert cli.main(["retrieve", "--query", "hybrid schedules", "--index-path", str(corpus / "index"), "--top-k", "1", "--config", str(_yaml(corpus))], spark) == 0
