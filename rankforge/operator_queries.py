@@ -5,18 +5,27 @@ Some operators read files. Their queries write the rows of a table to a new fold
 
 from __future__ import annotations
 
+import html
+import io
+import json
 import random
 import unicodedata
+import zipfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankforge.config import Config
 from rankforge.functions import text as T
 from rankforge.functions.pages import remove_page_edges
-from rankforge.operators import analysis, chunking, dense, evaluation, preprocess, ranking
+from rankforge.operators import analysis, bm25, chunking, dense, evaluation, preprocess, ranking
+from rankforge.plans.experiments import Runner, check_space, combinations
 from rankforge.plans.retrieval import Retriever
-from rankforge.queries import B, BM25_SQL, EXPERIMENT_SQL, K, K1, OVERLAP, RRF_K, SCORE_SQL, SIZE, TOKEN, TOP_N, WS, _chunked, _clean, _lines, _ranked, _strip, _words, benchmark, chunks, documents, experiments, register, table
+from rankforge.queries import _IDCG, B, BM25_SQL, EXPERIMENT_SQL, K, K1, LABEL_SQL, OVERLAP, RRF_K, SCORE_SQL, SIZE, TOKEN, TOP_N, WS, _chunked, _clean, _config, _lines, _ranked, _strip, _vectors, _words, benchmark, chunks, documents, experiments, register, table
+from rankforge.service import Service
+from rankforge.sources import files, storage, stores
+from rankforge.streaming import ingest
 
 # -- text
 
@@ -371,3 +380,270 @@ def compared_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
           "arg_max(experiment_id, {'s': round(overall_score, 12), 't': timestamp, 'i': experiment_id}) AS best_id FROM sc GROUP BY retriever")
 def best_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.best_runs(analysis.scored(experiments(spark, sf_dir)), "retriever").select("retriever", "runs", *[F.round(c, 9).alias(c) for c in ("best", "worst", "mean")], "best_id")
+
+
+@register(f"""WITH {EXPERIMENT_SQL}, {SCORE_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY round(overall_score, 12) DESC, timestamp DESC, experiment_id) AS place FROM sc)
+SELECT experiment_id, retriever || ' retrieval with ' || embedding_model || ': MRR ' || printf('%.3f', round(mean_reciprocal_rank, 6)) || ', NDCG@K ' || printf('%.3f', round(ndcg_at_k, 6)) || ', mean latency ' || printf('%.2f', round(average_latency_ms, 6)) || ' ms. It is '
+ || CASE WHEN place = 1 THEN 'the recommended choice' ELSE 'an alternative' END || '.' AS summary FROM o WHERE place <= 50""")
+def experiment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the report, of the first fifty experiments."""
+    scored = analysis.scored(experiments(spark, sf_dir))
+    scored = scored.withColumns({c: F.round(c, 6) for c in ("mean_reciprocal_rank", "ndcg_at_k", "average_latency_ms")}).cache()  # sums of either order
+    best = analysis.recommendation(scored).first().experiment_id
+    rows = [r.asDict() for r in scored.join(analysis.leaderboard(scored).where("rank <= 50").select("experiment_id"), "experiment_id").collect()]
+    return spark.createDataFrame([(r["experiment_id"], analysis.summary(r, best)) for r in rows], "experiment_id string, summary string")
+
+
+# -- stores: what is written is read again from a folder that all executors share
+
+
+@register(f"WITH {RECURSIVE_SQL} SELECT doc_id || ':' || position AS chunk_id, doc_id AS document_id, {_count('c')}::INTEGER AS token_count, sha256(c) AS text_hash, source, length(text) AS document_chars FROM chunked JOIN documents USING (doc_id)")
+def corpus_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = storage.workspace(spark, "corpus")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "text", "source", F.col("lang").alias("domain"))
+    stores.save_corpus(at, docs, chunking.chunk_documents(docs, _config("recursive")), {"kind": "query"})
+    docs, cut = stores.load_corpus(spark, at)
+    held = docs.select("document_id", F.length("text").cast("bigint").alias("document_chars"))
+    return cut.join(held, "document_id").select("chunk_id", "document_id", "token_count", F.sha2("text", 256).alias("text_hash"), "source", "document_chars")
+
+
+@register("SELECT item_id AS doc_id, text, length(text) AS n FROM benchmark")
+def json_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as one JSON list, and back."""
+    at = f"{storage.workspace(spark, 'json')}/documents.json"
+    stores.export_json(benchmark(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"), F.length("query").cast("bigint").alias("n")), at)
+    return spark.read.option("multiLine", True).json(at).select("doc_id", "text", "n")
+
+
+@register("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, generate_subscripts(e, 1) - 1 AS i, round(unnest(e) / sqrt(list_dot_product(e, e)), 9) AS x FROM v")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = storage.workspace(spark, "vectors")
+    stores.save_vectors(_vectors(spark, sf_dir, "vec_id"), at, "first model")
+    return stores.load_vectors(spark, at, "first model").select("vec_id", F.posexplode("vector").alias("i", "x")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 9).alias("x"))
+
+
+@register(f"WITH {BM25_SQL}, {_ranked(K1, B, K, 'r')} SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r")
+def bm25_index_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that was saved and loaded, twice over the same path."""
+    at = storage.workspace(spark, "bm25")
+    bm25.build(chunks(spark, sf_dir).limit(5)).save(at)
+    index = bm25.build(chunks(spark, sf_dir)).save(at)
+    return bm25.search(index, benchmark(spark, sf_dir), K, K1, B).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@register(f"WITH {HYBRID_SQL} SELECT query_id, doc_id, rank::INTEGER AS rank FROM fused")
+def hybrid_index_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retriever that was saved and loaded by another session's code path."""
+    at, settings = storage.workspace(spark, "index"), {"retrieval": {"retriever": "hybrid"}}
+    _retriever(spark, sf_dir, settings).save(at)
+    again = Retriever(spark, Config({"embedding": {"backend": "hashing", "cache_directory": None}, **settings})).load(at)
+    return again.retrieve(benchmark(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+
+
+@register("""WITH t AS (SELECT DISTINCT text, doc_id % 2 AS part, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
+u AS (SELECT text, min(part) AS part FROM t GROUP BY text)
+SELECT 'distinct texts' AS what, count(*) AS n FROM u UNION ALL SELECT 'held before', count(*) FROM u WHERE part = 0 UNION ALL SELECT 'encoded', count(*) FROM u WHERE part = 1 UNION ALL SELECT 'vectors', count(*) FROM documents""")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that holds the documents of even ids, asked for all: what was held, what had to be encoded and what came back."""
+    cache = dense.EmbeddingCache(spark, storage.workspace(spark, "cache"), "model")
+    encode = lambda t, k: t.select(k, F.array(F.length("text").cast("double")).alias("vector"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cache.embed(docs.where("doc_id % 2 = 0"), "doc_id", encode).count()
+    before = cache.read().count()
+    vectors = cache.embed(docs, "doc_id", encode).join(docs, "doc_id").where(F.element_at("vector", 1) == F.length("text")).count()
+    after = cache.read().count()
+    return spark.createDataFrame([("distinct texts", after), ("held before", before), ("encoded", after - before), ("vectors", vectors)], "what string, n bigint")
+
+
+@register("SELECT item_id AS query_id, text AS query, 2 AS positives, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END AS negatives, 'doc-' || item_id || '|' || text AS labels FROM benchmark")
+def dataset_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled dataset written as JSON and read by the loader of its format."""
+    rows = benchmark(spark, sf_dir).orderBy("query_id").collect()  # a dataset of labelled queries
+    at = f"{storage.workspace(spark, 'dataset')}/dataset.json"
+    storage.write_text(spark, at, json.dumps({"examples": [{"query": f" {r['query']} ", "positive_documents": [f"doc-{r.query_id}", r["query"]], "negative_documents": ["other"] if r.query_id % 2 == 0 else []} for r in rows]}))
+    e = stores.load_examples(spark, at)
+    return e.select(F.col("query_id").cast("bigint").alias("query_id"), "query", F.size("positive_documents").alias("positives"), F.size("negative_documents").alias("negatives"), F.array_join("positive_documents", "|").alias("labels"))
+
+
+@register(f"WITH {EXPERIMENT_SQL}, newest AS (SELECT *, row_number() OVER (ORDER BY timestamp DESC, experiment_id) AS place FROM ex QUALIFY place <= 12) SELECT place::INTEGER AS place, experiment_id, 'completed' AS status, round(recall_at_k, 9) AS recall_at_k FROM newest")
+def experiment_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve newest experiments saved twice, read in their last version, newest first."""
+    held = stores.ExperimentStore(spark, storage.workspace(spark, "experiments"))
+    for r in experiments(spark, sf_dir).orderBy(F.desc("timestamp"), "experiment_id").limit(12).collect():
+        for status in ("running", "completed"):
+            held.save(r.asDict() | {"status": status, "timestamp": r.timestamp.isoformat()})
+    place = F.row_number().over(Window.orderBy(F.desc("timestamp"), "experiment_id"))
+    return held.all().select(place.alias("place"), "experiment_id", "status", F.round("recall_at_k", 9).alias("recall_at_k"))
+
+
+SETTINGS = """retrieval: {retriever: bm25, top_k: 7}
+query_enhancement: {enabled: true, methods: [expansion, none, expansion]}
+index: {bm25: {k1: 1.2}}
+"""
+
+
+@register("SELECT * FROM (VALUES ('chunking.chunk_size', '250'), ('index.bm25.b', '0.4'), ('index.bm25.k1', '1.2'), ('query_enhancement.methods', 'expansion'), ('recommendation.quality_weight', '0.65'), ('retrieval.retriever', 'bm25'), ('retrieval.top_k', '9')) AS t(setting, value)")
+def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML, defaults and dotted overrides together."""
+    at = f"{storage.workspace(spark, 'settings')}/c.yaml"
+    storage.write_text(spark, at, SETTINGS)
+    c = Config.load(at, lambda p: storage.read_text(spark, p)).with_overrides({"retrieval.top_k": 9, "index.bm25.b": 0.4})
+    names = ("chunking.chunk_size", "index.bm25.b", "index.bm25.k1", "query_enhancement.methods", "recommendation.quality_weight", "retrieval.retriever", "retrieval.top_k")
+    return spark.createDataFrame([(n, "+".join(c[n]) if isinstance(c[n], list) else str(c[n])) for n in names], "setting string, value string")
+
+
+@register("SELECT a.x AS k1, b.x AS top_k FROM (VALUES (1.2e0), (1.5e0), (2.0e0)) a(x), (VALUES (5), (10)) b(x)")
+def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combinations of a parameter file."""
+    at = f"{storage.workspace(spark, 'parameters')}/p.yaml"
+    storage.write_text(spark, at, "parameters:\n  index.bm25.k1: [1.2, 1.5, 2.0]\n  retrieval.top_k: [5, 10]\n")
+    return spark.createDataFrame([(o["index.bm25.k1"], o["retrieval.top_k"]) for o in combinations(stores.load_parameters(spark, at))], "k1 double, top_k int")
+
+
+@register("SELECT * FROM (VALUES ('index.bm25.k1', 'allowed'), ('query_enhancement.enabled', 'refused'), ('retrieval.retriever', 'refused'), ('retrieval.top_k', 'allowed')) AS t(path, verdict)")
+def search_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for path in ("index.bm25.k1", "query_enhancement.enabled", "retrieval.retriever", "retrieval.top_k"):
+        try:
+            check_space({path: [1]}, 1, "ndcg")
+            rows.append((path, "allowed"))
+        except ValueError:
+            rows.append((path, "refused"))
+    return spark.createDataFrame(rows, "path string, verdict string")
+
+
+# -- files: the benchmark's passages as text, Markdown and DOCX files in three folders, with some that cannot be read
+
+SUFFIX = (".txt", ".md", ".Markdown", ".docx")
+DOCX = '<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
+
+
+def _docx_file(text: str) -> bytes:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", DOCX.format("".join(f"<w:p><w:r><w:t>{html.escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))))
+    return held.getvalue()
+
+
+def _passage_files(spark: SparkSession, sf_dir: str) -> str:
+    root = storage.workspace(spark, "files")
+    for r in benchmark(spark, sf_dir).toLocalIterator():
+        suffix = SUFFIX[r.query_id % 4]
+        storage.write_bytes(spark, f"{root}/d{r.query_id % 3}/item {r.query_id}.x{suffix}", _docx_file(r["query"]) if suffix == ".docx" else r["query"].encode())
+    for name, content in (("broken.docx", b"no archive"), ("broken.txt", b"\xff\xfe\xff"), ("table.csv", b"a,b"), ("none", b"x")):
+        storage.write_bytes(spark, f"{root}/d0/{name}", content)
+    storage.write_bytes(spark, f"{root}/at the root.txt", b"skipped, as the root has folders")
+    return root
+
+
+FILES_SQL = f"""f AS (SELECT item_id, ['.txt', '.md', '.Markdown', '.docx'][item_id % 4 + 1] AS suffix, text FROM benchmark),
+g AS (SELECT item_id, suffix, 'item ' || item_id || '.x' || suffix AS filename, CASE WHEN suffix = '.docx' THEN array_to_string(list_filter(string_split(text, chr(10)), lambda l: {_strip('l')} <> ''), chr(10)) ELSE text END AS text FROM f)"""
+
+
+@register(f"""WITH {FILES_SQL} SELECT substr(sha256(filename || '::' || text), 1, 16) AS document_id, 'item ' || item_id || '.x' AS title, ['txt', 'markdown', 'markdown', 'docx'][item_id % 4 + 1] AS file_type, filename, lower(suffix) AS extension,
+CASE WHEN suffix <> '.docx' THEN octet_length(encode(text)) ELSE -1 END AS text_bytes, CASE WHEN suffix = '.docx' THEN len(string_split(text, chr(10))) ELSE -1 END::INTEGER AS paragraph_count, 'd' || item_id % 3 AS domain, sha256(text) AS text_hash, true AS dated FROM g""")
+def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _passage_files(spark, sf_dir)
+    d = files.ingest(spark, root, root=root).documents
+    size = F.when(F.col("file_type") != "docx", F.col("size_bytes")).otherwise(-1)
+    return d.select("document_id", "title", "file_type", "filename", "extension", size.alias("text_bytes"), F.coalesce("paragraph_count", F.lit(-1)).alias("paragraph_count"), "domain", F.sha2("text", 256).alias("text_hash"), (F.col("modified_at") > 0).alias("dated"))
+
+
+@register("SELECT * FROM (VALUES ('broken.docx', 'BadZipFile'), ('broken.txt', 'UnicodeDecodeError')) AS t(filename, kind)")
+def ingest_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures = files.ingest(spark, _passage_files(spark, sf_dir)).failures
+    return failures.select(F.element_at(F.split("source", "/"), -1).alias("filename"), F.split("error", ":")[0].alias("kind"))
+
+
+@register(f"WITH {FILES_SQL} SELECT 'd' || item_id % 3 AS domain, count(*) AS files, min(filename) AS first_file FROM g GROUP BY 1")
+def file_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each folder below the root read by itself."""
+    root = _passage_files(spark, sf_dir)
+    parts = [files.ingest_path(spark, f"{root}/{d}", root=root).groupBy("domain").agg(F.count("*").alias("files"), F.min("filename").alias("first_file")) for d in files.domains(spark, root)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+STEP, WIDE = 25, 40  # of the chunks of small files
+
+
+@register(f"""WITH t AS (SELECT item_id, regexp_extract_all(text, '{TOKEN}') AS tokens FROM benchmark WHERE item_id % 4 < 2),
+s AS (SELECT item_id, tokens, unnest(range(0, len(tokens), {STEP})) AS start FROM t),
+f AS (SELECT *, min(CASE WHEN start > 0 AND len(tokens) - start < {max(15, WIDE // 3)} THEN start END) OVER (PARTITION BY item_id) AS short FROM s),
+k AS (SELECT *, max(start) OVER (PARTITION BY item_id) AS last FROM f WHERE short IS NULL OR start < short),
+c AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start) - 1 AS position, CASE WHEN short IS NOT NULL AND start = last THEN list_concat(tokens[start + 1:start + {WIDE}], tokens[short + 1:short + {WIDE}]) ELSE tokens[start + 1:start + {WIDE}] END AS own FROM k)
+SELECT 'item ' || item_id || '.x' AS title, position::INTEGER AS position, len(own)::INTEGER AS token_count, sha256(array_to_string(own, ' ')) AS text_hash FROM c""")
+def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in two portions, chunked into a table once each."""
+    root = storage.workspace(spark, "stream")
+    c = Config({"chunking": {"strategy": "fixed", "chunk_size": WIDE, "overlap": WIDE - STEP}, "preprocessing": {k: False for k in ("normalize_unicode", "cleanup_whitespace", "remove_headers", "remove_footers", "remove_page_numbers", "remove_empty_lines")}})
+    for part in (0, 1):
+        for r in benchmark(spark, sf_dir).where(f"query_id % 4 = {part}").toLocalIterator():
+            storage.write_text(spark, f"{root}/in/item {r.query_id}.x{SUFFIX[part]}", r["query"])
+        ingest.start(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", c, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("title", "position", "token_count", F.sha2("text", 256).alias("text_hash"))
+
+
+# -- runs: documents as the corpus, passages as queries, the documents that hold a passage as its labels
+
+
+def _run_corpus(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Folders of a corpus, a dataset and the experiments."""
+    root = storage.workspace(spark, "runs")
+    docs = documents(spark, sf_dir).select(F.format_string("%09d", "doc_id").alias("document_id"), "text", F.lit("").alias("source"))
+    held = docs.select(F.col("document_id").alias("chunk_id"), "document_id", "text", F.lit(0).alias("position"), T.token_count("text").alias("token_count"), "source")
+    stores.save_corpus(f"{root}/corpus", docs, held, {})
+    index = bm25.build(chunks(spark, sf_dir)).cache()
+    pairs = evaluation.containing(benchmark(spark, sf_dir), documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), index.postings, index.terms)
+    rows = pairs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.format_string("%09d", "chunk_id"))).alias("labels")).join(benchmark(spark, sf_dir), "query_id").orderBy("query_id").collect()  # a dataset of labelled queries
+    storage.write_text(spark, f"{root}/dataset.json", json.dumps([{"query": r["query"], "positive_documents": r.labels} for r in rows]))
+    return f"{root}/corpus", f"{root}/dataset.json", root
+
+
+def _metrics_sql(name: str, k1: float, b: float, k: int) -> str:
+    return f"""{_ranked(k1, b, k, name)},
+{name}_h AS (SELECT r.query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM {name} r JOIN labelled l ON l.query_id = r.query_id AND l.doc_id = r.doc_id GROUP BY r.query_id),
+{name}_m AS (SELECT round(avg(coalesce(hits, 0) / {k}.0e0), 9) AS precision_at_k, round(avg(coalesce(hits, 0) / total::DOUBLE), 9) AS recall_at_k, round(avg(coalesce(1 / first::DOUBLE, 0)), 9) AS mean_reciprocal_rank,
+  round(avg(coalesce(dcg, 0) / {_IDCG.format(n="total", k=k)}), 9) AS ndcg_at_k FROM totals LEFT JOIN {name}_h USING (query_id))"""
+
+
+RUNS = (("single", "", K1, B, K), ("sweep", "sweep:index.bm25.k1=0.9", 0.9, B, K), ("sweep", "sweep:index.bm25.b=0.3", K1, 0.3, K), ("grid_search", "grid:index.bm25.k1=2.0, retrieval.top_k=5", 2.0, B, 5), ("ablation", "ablation:baseline", K1, B, K), ("ablation", "ablation:short", K1, B, 3))
+
+
+@register(
+    f"WITH {BM25_SQL}, {LABEL_SQL}, totals AS (SELECT query_id, count(*) AS total FROM labelled GROUP BY query_id), " + ", ".join(_metrics_sql(f"z{i}", *r[2:]) for i, r in enumerate(RUNS)) + " "
+    + " UNION ALL ".join(f"SELECT '{mode}' AS mode, '{notes}' AS notes, {k} AS top_k, 'completed' AS status, * FROM z{i}_m" for i, (mode, notes, _, _, k) in enumerate(RUNS))
+)
+def benchmark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single run, a sweep, a grid and an ablation, read from the experiment store."""
+    corpus, dataset, root = _run_corpus(spark, sf_dir)
+    runner = Runner(spark, f"{root}/experiments", mode="batch")
+    c = Config({"retrieval": {"retriever": "bm25", "top_k": K}, "benchmark": {"results_directory": f"{root}/results"}})
+    runner.run(c, corpus, dataset, notes="")
+    runner.sweep(c, corpus, dataset, {"index.bm25.k1": [0.9], "index.bm25.b": [0.3]})
+    runner.grid(c, corpus, dataset, {"index.bm25.k1": [2.0], "retrieval.top_k": [5]})
+    runner.ablation(c, corpus, dataset, {"short": {"retrieval.top_k": 3}})
+    out = runner.store.all().select("mode", F.coalesce("notes", F.lit("")).alias("notes"), "top_k", "status", "precision_at_k", "recall_at_k", "mean_reciprocal_rank", "ndcg_at_k")
+    return out.select("mode", "notes", "top_k", "status", *[F.round(m, 9).alias(m) for m in out.columns[4:]])
+
+
+@register(f"""WITH {FILES_SQL}, docs AS (SELECT text FROM g WHERE item_id % 3 = 1 AND suffix <> '.Markdown')
+SELECT 'health' AS step, 200 AS status, 'ok' AS value UNION ALL SELECT 'ingest', 200, count(*)::VARCHAR FROM docs UNION ALL SELECT 'preprocess', 200, count(*)::VARCHAR FROM docs UNION ALL SELECT 'chunk', 200, count(*)::VARCHAR FROM docs
+UNION ALL SELECT 'embed', 200, count(*)::VARCHAR FROM docs UNION ALL SELECT 'index', 200, count(*)::VARCHAR FROM docs UNION ALL SELECT 'retrieve', 200, '3' UNION ALL SELECT 'missing field', 422, '' UNION ALL SELECT 'bad value', 400, ''
+UNION ALL SELECT 'missing file', 404, '' UNION ALL SELECT 'no route', 404, '' UNION ALL SELECT 'openapi.json', 200, '3.1.0'""")
+def service_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from files to answers, and what is refused."""
+    root, at, service = _passage_files(spark, sf_dir), storage.workspace(spark, "service"), Service(spark)
+    config = {"ingestion": {"input_directory": root}, "retrieval": {"retriever": "bm25"}, "embedding": {"backend": "hashing", "cache_directory": None}, "chunking": {"strategy": "fixed", "chunk_size": 100_000, "overlap": 0}}
+    source = {"config": config, "source": f"{root}/d1"}
+    asked = [
+        ("health", "GET", "health", {}, "status"), ("ingest", "POST", "ingest", source | {"output_path": f"{at}/raw.json"}, "document_count"), ("preprocess", "POST", "preprocess", source, "document_count"),
+        ("chunk", "POST", "chunk", source | {"output_path": f"{at}/corpus"}, "chunk_count"), ("embed", "POST", "embed", {"config": config, "corpus_path": f"{at}/corpus", "output_path": f"{at}/vectors"}, "vector_count"),
+        ("index", "POST", "index", {"config": config, "corpus_path": f"{at}/corpus", "index_path": f"{at}/index"}, "chunk_count"), ("retrieve", "POST", "retrieve", {"config": config, "index_path": f"{at}/index", "query": "the", "top_k": 3}, "results"),
+        ("missing field", "POST", "ingest", {}, None), ("bad value", "POST", "ingest", {"config": {"retrieval": {"top_k": 0}}, "source": root}, None), ("missing file", "POST", "ingest", {"source": f"{root}/absent"}, None), ("no route", "GET", "absent", {}, None), ("openapi.json", "GET", "openapi.json", {}, "openapi"),
+    ]
+    rows = []
+    for step, method, path, body, field in asked:
+        status, answer = service.handle(method, f"/{path}", body)
+        value = answer[field] if field else ""
+        rows.append((step, status, str(len(value)) if isinstance(value, list) else str(value)))
+    return spark.createDataFrame(rows, "step string, status int, value string")

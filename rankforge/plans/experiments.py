@@ -49,6 +49,11 @@ def check_space(space: dict[str, Any], trials: int, objective: str) -> None:
             raise ValueError("query enhancement settings are variants to benchmark, not parameters to search")
 
 
+def combinations(parameters: dict[str, list]) -> list[dict[str, Any]]:
+    """Every choice of one value for each parameter."""
+    return [dict(zip(parameters, values)) for values in itertools.product(*parameters.values())]
+
+
 def best_of(results: list[dict[str, Any]]) -> dict[str, Any] | None:
     """The best run of a sweep, a grid or a search by nDCG; among equals the later."""
     done = [r for r in results if r.get("ndcg_at_k") is not None]
@@ -145,8 +150,7 @@ class Runner:
 
     def grid(self, config: Config, corpus: str, dataset: str, parameters: dict[str, list], notes: str | None = None) -> list[dict]:
         """Every combination."""
-        each = (dict(zip(parameters, values)) for values in itertools.product(*parameters.values()))
-        return [self._varied(config, o, corpus, dataset, "grid_search", joined(notes, "grid:" + ", ".join(f"{k}={v}" for k, v in o.items()))) for o in each]
+        return [self._varied(config, o, corpus, dataset, "grid_search", joined(notes, "grid:" + ", ".join(f"{k}={v}" for k, v in o.items()))) for o in combinations(parameters)]
 
     def ablation(self, config: Config, corpus: str, dataset: str, variants: dict[str, dict], notes: str | None = None) -> list[dict]:
         """The configuration as it is, then each variant; chunks are never cut anew."""

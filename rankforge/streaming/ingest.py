@@ -14,9 +14,9 @@ from rankforge.operators.preprocess import preprocess
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the .txt and .md files that arrive in a folder, one row each."""
-    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").load(path)
-    local = F.col("_metadata.file_path")
-    name = F.col("_metadata.file_name")
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}").load(path)
+    plain = lambda c: F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+    local, name = F.regexp_replace(plain("_metadata.file_path"), "^file:/*", "/"), plain("_metadata.file_name")
     return files.select(T.document_id(name, F.col("value")).alias("document_id"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), F.col("value").alias("text"), local.alias("source"))
 
 
