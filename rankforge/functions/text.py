@@ -6,6 +6,7 @@ The patterns give in Java what the usual Unicode-aware classes give elsewhere; W
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # the characters of WS
 WORD_CHAR = r"\pL\pN_"
 TOKEN = rf"([{WORD_CHAR}]+|[^{WORD_CHAR}{WS[1:-1]}])"
 WORD = r"([\pL\p{Nl}\p{No}]+)"
@@ -24,8 +26,14 @@ def _c(text: str | Column) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: str | Column) -> Column:
-    return F.regexp_replace(_c(text), rf"^{WS}+|{WS}+$", "")
+    """Without white space at the ends; a search from both ends, which an expression for the same would extend to every space between."""
+    return F.btrim(_c(text), F.lit(WS_CHARS))
 
 
 def tokens(text: str | Column) -> Column:
@@ -74,22 +82,27 @@ def normalize_unicode(text: str | Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
 
 
+def _mended(mark: str, pattern: str, new: str) -> Callable[[Column], Column]:
+    """The replacement where the text has the mark at all."""
+    return lambda x: F.when(F.contains(x, F.lit(mark)), F.regexp_replace(x, pattern, new)).otherwise(x)
+
+
 def cleanup_whitespace(text: str | Column) -> Column:
     """Single spaces, none around . @ / and before punctuation, http addresses and number ranges mended, lines trimmed.
 
     White space around a full stop goes whatever follows it, line breaks included, and http:// becomes https://.
     """
     t = _c(text)
-    for pattern, new in (
-        (r"[ \t]+", " "),
-        (rf"{WS}+([.,;:!?])", "$1"),
-        (rf"{WS}*@{WS}*", "@"),
-        (rf"{WS}*\.{WS}*", "."),
-        (rf"https?{WS}*:{WS}*/{WS}*/", "https://"),
-        (rf"{WS}*/{WS}*", "/"),
-        (rf"(\p{{Nd}}){WS}*-{WS}*(\p{{Nd}})", "$1-$2"),
+    for needs, pattern, new in (
+        (None, r"[ \t]+", " "),
+        (None, rf"{WS}+([.,;:!?])", "$1"),
+        ("@", rf"{WS}*@{WS}*", "@"),
+        (".", rf"{WS}*\.{WS}*", "."),
+        ("/", rf"https?{WS}*:{WS}*/{WS}*/", "https://"),
+        ("/", rf"{WS}*/{WS}*", "/"),
+        ("-", rf"(\p{{Nd}}){WS}*-{WS}*(\p{{Nd}})", "$1-$2"),
     ):
-        t = F.regexp_replace(t, pattern, new)
+        t = F.regexp_replace(t, pattern, new) if needs is None else let(t, _mended(needs, pattern, new))
     return strip(F.array_join(F.transform(lines(t), strip), "\n"))
 
 

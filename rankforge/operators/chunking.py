@@ -21,12 +21,7 @@ from rankforge.config import Config
 from rankforge.functions import text as T
 
 PARAGRAPHS = ("\n\n", "\n", ". ", " ")
-STRINGS = "array<string>"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+STRINGS, SEGMENTS = "array<string>", "array<struct<s:string,n:int>>"
 
 
 def window_texts(tokens: Column, size: int, overlap: int) -> Column:
@@ -47,54 +42,64 @@ def window_texts(tokens: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), kept - 1), text_of)).otherwise(F.array().cast(STRINGS))
 
 
-def split(text: Column, size: int, separators: tuple[str, ...] = PARAGRAPHS) -> Column:
-    """Segments of a text: at each separator in turn whatever is too long is split, if that gives several parts; what then still is becomes windows of tokens."""
-    long = lambda s: T.number_of_tokens(s) > size
-    segments = F.array(text)
+def counted(texts: Column) -> Column:
+    """Segments: texts with their numbers of tokens, which are counted once and then added."""
+    return F.transform(texts, lambda s: F.struct(s.alias("s"), T.number_of_tokens(s).alias("n")))
+
+
+def split(segment: Column, size: int, separators: tuple[str, ...] = PARAGRAPHS) -> Column:
+    """Segments of a segment: at each separator in turn whatever is too long is split, if that gives several parts; what then still is becomes windows of tokens."""
+    segments = F.array(segment)
     for separator in separators:
         end = (lambda p: F.when(F.endswith(p, F.lit(".")), p).otherwise(F.concat(p, F.lit(".")))) if separator == ". " else (lambda p: p)
 
-        def parts(s: Column, pattern: str = separator.replace(".", r"\."), end: Callable = end) -> Column:
-            found = F.filter(F.transform(F.split(s, pattern), T.strip), lambda p: p != "")
-            return let(found, lambda p: F.when(F.size(p) > 1, F.transform(p, end)).otherwise(F.array(s)))
+        def parts(x: Column, pattern: str = separator.replace(".", r"\."), end: Callable = end) -> Column:
+            found = F.filter(F.transform(F.split(x["s"], pattern), T.strip), lambda p: p != "")
+            return T.let(found, lambda p: F.when(F.size(p) > 1, counted(F.transform(p, end))).otherwise(F.array(x)))
 
-        segments = F.flatten(F.transform(segments, lambda s: F.when(long(s), parts(s)).otherwise(F.array(s))))
-    windows = lambda s: let(T.tokens(s), lambda t: window_texts(t, size, 0))
-    return F.flatten(F.transform(segments, lambda s: F.when(long(s), windows(s)).otherwise(F.array(T.strip(s)))))
+        segments = F.flatten(F.transform(segments, lambda x: F.when(x["n"] > size, parts(x)).otherwise(F.array(x))))
+    windows = lambda x: counted(T.let(T.tokens(x["s"]), lambda t: window_texts(t, size, 0)))
+    return F.flatten(F.transform(segments, lambda x: F.when(x["n"] > size, windows(x)).otherwise(F.array(F.struct(T.strip(x["s"]).alias("s"), x["n"].alias("n"))))))
 
 
 def merge(segments: Column, size: int) -> Column:
     """Neighbouring segments joined by a blank line while they fit; their token counts add up."""
-    counted = F.transform(segments, lambda s: F.struct(s.alias("s"), T.number_of_tokens(s).alias("n")))
-    start = F.struct(F.array().cast(STRINGS).alias("out"), F.lit("").alias("held"), F.lit(0).alias("total"))
+    start = F.struct(F.array().cast(SEGMENTS).alias("out"), F.lit("").alias("s"), F.lit(0).alias("n"))
+    held = lambda a: F.struct(a["s"].alias("s"), a["n"].alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        fits = a["total"] + x["n"] <= size
-        joined = F.when(a["held"] == "", x["s"]).otherwise(F.concat(a["held"], F.lit("\n\n"), x["s"]))
+        fits = a["n"] + x["n"] <= size
+        joined = F.when(a["s"] == "", x["s"]).otherwise(F.concat(a["s"], F.lit("\n\n"), x["s"]))
         return F.struct(
-            F.when(fits | (a["held"] == ""), a["out"]).otherwise(F.array_append(a["out"], a["held"])).alias("out"),
-            F.when(fits, T.strip(joined)).otherwise(x["s"]).alias("held"),
-            (F.when(fits, a["total"]).otherwise(0) + x["n"]).alias("total"),
+            F.when(fits | (a["s"] == ""), a["out"]).otherwise(F.array_append(a["out"], held(a))).alias("out"),
+            F.when(fits, T.strip(joined)).otherwise(x["s"]).alias("s"),
+            (F.when(fits, a["n"]).otherwise(0) + x["n"]).alias("n"),
         )
 
-    return F.aggregate(counted, start, step, lambda a: F.when(a["held"] == "", a["out"]).otherwise(F.array_append(a["out"], T.strip(a["held"]))))
+    return F.aggregate(segments, start, step, lambda a: F.when(a["s"] == "", a["out"]).otherwise(F.array_append(a["out"], held(a))))
 
 
-def with_overlap(chunks: Column, overlap: int) -> Column:
-    """Every chunk but the first behind the last `overlap` tokens of the one before it, which has its own overlap already."""
+def with_overlap(segments: Column, overlap: int) -> Column:
+    """Every segment but the first behind the last `overlap` tokens of the one before it, which has its own overlap already."""
     if overlap <= 0:
-        return chunks
-    before = lambda a: T.tail_tokens(F.element_at(a, -1), overlap)
-    return F.aggregate(chunks, F.array().cast(STRINGS), lambda a, c: F.array_append(a, F.when(F.size(a) == 0, c).otherwise(F.concat(before(a), F.lit("\n\n"), c))))
+        return segments
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        longer = F.struct(F.concat(T.tail_tokens(last["s"], overlap), F.lit("\n\n"), x["s"]).alias("s"), (F.least(last["n"], F.lit(overlap)) + x["n"]).alias("n"))
+        return F.array_append(a, F.when(F.size(a) == 0, x).otherwise(longer))
+
+    return F.aggregate(segments, F.array().cast(SEGMENTS), step)
 
 
-def finished(chunks: Column, size: int) -> Column:
-    """Tidied chunks without those of too few tokens."""
-    return F.filter(F.transform(chunks, T.remove_empty_lines), lambda c: T.number_of_tokens(c) >= max(1, min(15, size // 2)))
+def finished(segments: Column, size: int) -> Column:
+    """The tidied texts of the segments without those of too few tokens."""
+    return F.transform(F.filter(segments, lambda x: x["n"] >= max(1, min(15, size // 2))), lambda x: T.remove_empty_lines(x["s"]))
 
 
 def recursive_texts(text: Column, size: int, overlap: int) -> Column:
-    return finished(with_overlap(merge(split(text, size), size), overlap), size)
+    whole = F.struct(text.alias("s"), T.number_of_tokens(text).alias("n"))
+    return finished(with_overlap(merge(split(whole, size), size), overlap), size)
 
 
 @F.arrow_udf(ArrayType(DoubleType()))
@@ -152,19 +157,20 @@ def semantic_texts(text: Column, sentences: Column, near: Column, size: int, ove
     `sentences` and `near`, their neighbours' similarities, are columns.
     """
     each = F.transform(sentences, lambda s, i: F.struct(s.alias("s"), T.number_of_tokens(s).alias("n"), F.when(i > 0, F.element_at(near, F.when(i > 0, i).otherwise(1))).alias("near")))
-    start = F.struct(F.array().cast(STRINGS).alias("out"), F.lit("").alias("held"), F.lit(0).alias("count"), F.lit(0).alias("total"))
+    start = F.struct(F.array().cast(SEGMENTS).alias("out"), F.lit("").alias("s"), F.lit(0).alias("count"), F.lit(0).alias("n"))
+    held = lambda a: F.struct(a["s"].alias("s"), a["n"].alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        breaks = (a["count"] > 0) & ((a["total"] + x["n"] > size) | ((a["count"] >= least) & (x["near"] < threshold)))
+        breaks = (a["count"] > 0) & ((a["n"] + x["n"] > size) | ((a["count"] >= least) & (x["near"] < threshold)))
         return F.struct(
-            F.when(breaks, F.array_append(a["out"], a["held"])).otherwise(a["out"]).alias("out"),
-            F.when(breaks | (a["count"] == 0), x["s"]).otherwise(F.concat(a["held"], F.lit(" "), x["s"])).alias("held"),
+            F.when(breaks, F.array_append(a["out"], held(a))).otherwise(a["out"]).alias("out"),
+            F.when(breaks | (a["count"] == 0), x["s"]).otherwise(F.concat(a["s"], F.lit(" "), x["s"])).alias("s"),
             (F.when(breaks, 0).otherwise(a["count"]) + 1).alias("count"),
-            (F.when(breaks, 0).otherwise(a["total"]) + x["n"]).alias("total"),
+            (F.when(breaks, 0).otherwise(a["n"]) + x["n"]).alias("n"),
         )
 
-    groups = F.aggregate(each, start, step, lambda a: F.array_append(a["out"], a["held"]))
-    cut = F.flatten(F.transform(groups, lambda g: F.when(T.number_of_tokens(g) <= size, F.array(g)).otherwise(merge(split(g, size, (". ", " ")), size))))
+    groups = F.aggregate(each, start, step, lambda a: F.array_append(a["out"], held(a)))
+    cut = F.flatten(F.transform(groups, lambda g: F.when(g["n"] <= size, F.array(g)).otherwise(merge(split(g, size, (". ", " ")), size))))
     return F.when(F.size(sentences) > 1, finished(cut, size)).when(F.size(sentences) == 1, recursive_texts(text, size, overlap)).otherwise(F.array().cast(STRINGS))
 
 
