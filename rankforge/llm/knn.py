@@ -165,11 +165,13 @@ def knn_join(
         if len(far) > k:
             theta[i] = np.partition(far, k)[k]
     theta = theta * (1 + 1e-9) + 1e-9
+    finite = np.where(asked > 0, reach, 0.0)
     asking, data = Groups(p, asked, query_rows), Groups(p, weight, group_rows)
     parts = int(data.chunks.sum())
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = np.where(asked > 0, reach + theta, -np.inf) * (1 + 1e-9) + 1e-9
+        wide = np.full(len(p), -np.inf)
+        wide[asked > 0] = (finite + theta)[asked > 0] * (1 + 1e-9) + 1e-9
         for batch in slices(batches, 2048):
             d = distances(matrix(batch.column("v"), dim), p)
             cell, row, own = (batch.column(c).to_numpy() for c in ("cell", "row", "d"))
