@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import pick
+from rankforge.llm.shared import lean, pick
 from rankforge.llm.tokens import VOCABULARY, tokenizer
 
 CHUNK, BLOCK = 8, 512
@@ -108,7 +108,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, codes) of every document; `vocabulary` is a tiktoken file that every executor can read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lambda it: _encode(it, vocabulary), f"doc_id {kind}, n_tokens bigint, codes binary")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(lambda it: _encode(it, vocabulary)), f"doc_id {kind}, n_tokens bigint, codes binary")
 
 
 def token_at(codes: Column, position: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import seeded, written
+from rankforge.llm.shared import lean, seeded, written
 
 K, PIVOTS, GROUP_ROWS, QUERY_ROWS, EVERY, SEED = 10, 4096, 1 << 15, 1 << 14, 50, 71
 
@@ -135,7 +135,7 @@ def knn_join(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], names=[*batch.schema.names, "cell", "d"])
 
     columns = f"id {kind}, v {vector}, asks boolean, row bigint"
-    celled = written(good.select("id", "v", "asks", "row").mapInArrow(assign, f"{columns}, cell int, d double"), "cells")
+    celled = written(good.select("id", "v", "asks", "row").mapInArrow(lean(assign), f"{columns}, cell int, d double"), "cells")
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each cell the least k + 1 distances in this task, so that a cell's rows never meet in one place."""
@@ -149,7 +149,7 @@ def knn_join(
         pairs = [(c, x) for c, xs in held.items() for x in xs]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int32()), pa.array([x for _, x in pairs], pa.float64())], names=["cell", "d"])
 
-    near = celled.select("cell", "d").mapInArrow(least, "cell int, d double").withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("i") <= k + 1)
+    near = celled.select("cell", "d").mapInArrow(lean(least), "cell int, d double").withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("i") <= k + 1)
     summary = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"), F.count_if("asks").alias("asked"), F.max(F.when(F.col("asks"), F.col("d"))).alias("reach"))
     weight, asked = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=np.int64)
     radius, reach = np.full(len(p), -np.inf), np.full(len(p), -np.inf)
@@ -199,7 +199,7 @@ def knn_join(
         i, j = pa.array(i), pa.array(j)
         return pa.table({"query": asks.column("row").take(i), "vec_id": asks.column("id").take(i), "neighbor_id": data.column("id").take(j), "row": data.column("row").take(j), "distance": pa.array(far, pa.float64())})
 
-    sent = celled.mapInArrow(replicate, f"id {kind}, v {vector}, row bigint, part bigint, asks boolean")
+    sent = celled.mapInArrow(lean(replicate), f"id {kind}, v {vector}, row bigint, part bigint, asks boolean")
     found = sent.groupBy("part").applyInArrow(solve, f"query bigint, vec_id {kind}, neighbor_id {kind}, row bigint, distance double")
     best = Window.partitionBy("query").orderBy("distance", F.col("neighbor_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "distance")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import pick, seeded
+from rankforge.llm.shared import lean, pick, seeded
 from rankforge.llm.textbytes import WORD, lowered, utf8
 
 DIMENSIONS, CLUSTERS, SAMPLE, SEED = 4096, 4, 500, 17
@@ -104,7 +104,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """ln((1 + N) / (1 + df)) + 1 of each of the DIMENSIONS buckets, over all documents with a word."""
-    rows = pick(docs, text="text").mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = pick(docs, text="text").mapInArrow(lean(_frequencies), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(DIMENSIONS + 1)
     for r in rows:
         counts[r.bucket + 1] = r.n
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
                 names=["doc_id", "language", "distance", "max_distance", "accepted"],
             )
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(work, f"doc_id {kind}, language string, distance double, max_distance double, accepted boolean")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(work), f"doc_id {kind}, language string, distance double, max_distance double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def accepted(docs: DataFrame, model: dict | None = None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(decide(batch.column(batch.schema.names.index("text")), model)[3]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import narrow, pick, written
+from rankforge.llm.shared import lean, narrow, pick, written
 from rankforge.llm.textbytes import PIECE, each_part, hash_word, lowered, pieces, rows_of, word_hashes, word_spans
 
 THRESHOLD, WRAP = 0.8, 20
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return spark.createDataFrame([], out)
     need = {k: needed(len(w), threshold) for k, w in sets.items()}
     least, vocabulary = min(need.values()), sorted(set().union(*sets.values()))
-    rows = pick(docs, doc_id="doc_id", text="text").mapInArrow(lambda it: _words(it, vocabulary, least), f"doc_id {kind}, words array<int>, lines array<int>")
+    rows = pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(lambda it: _words(it, vocabulary, least)), f"doc_id {kind}, words array<int>, lines array<int>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "license-words")
 
     counts = {r.word: r.n for r in rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each word of the templates
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *[pa.array(c, k) for c, k in zip(zip(*found), kinds)]], names=["doc_id", "first_line", "last_line", "license", "overlap", "containment"])
 
-    return rows.join(narrow(pairs), "row").select("doc_id", "words", "lines", "license").mapInArrow(search, out)
+    return rows.join(narrow(pairs), "row").select("doc_id", "words", "lines", "license").mapInArrow(lean(search), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.bagminhash import band_keys, counted, shingles, signatures
 from rankforge.llm.components import components
-from rankforge.llm.shared import narrow, pick, row_key, written
+from rankforge.llm.shared import lean, narrow, pick, row_key, written
 from rankforge.llm.textbytes import U, each_part, lowered, mix, rows_of
 
 THRESHOLD, SHINGLE, BANDS, REGISTERS = 0.4, 3, 50, 4
@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = pick(docs, doc_id="doc_id", text="text").select("doc_id", "text", *row_key())
     signed = written(
-        rows.mapInArrow(lambda it: _sign(it, shingle, bands, per_band), f"doc_id {kind}, k1 bigint, k2 int, words binary, bands array<bigint>, size bigint").where("words is not null"),
+        rows.mapInArrow(lean(lambda it: _sign(it, shingle, bands, per_band)), f"doc_id {kind}, k1 bigint, k2 int, words binary, bands array<bigint>, size bigint").where("words is not null"),
         "signed",
     )
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
@@ -91,7 +91,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     members = _members(reps)
     needed = written(members.select("rid").distinct().join(reps.select("rid", "least.k1", "least.k2"), "rid"), "needed")
     texts = rows.drop("doc_id").join(narrow(needed), ["k1", "k2"]).dropDuplicates(["rid"]).select("rid", "text")
-    elements = written(texts.mapInArrow(lambda it: _elements(it, shingle), "rid bigint, elements array<bigint>"), "elements")
+    elements = written(texts.mapInArrow(lean(lambda it: _elements(it, shingle)), "rid bigint, elements array<bigint>"), "elements")
 
     stars = members.where("rid <> center").select(F.col("center").alias("a"), F.col("rid").alias("b")).distinct()
     stars = written(_similar(stars, elements), "stars")

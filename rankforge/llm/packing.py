@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import pick, written
+from rankforge.llm.shared import lean, pick, written
 from rankforge.llm.tokens import VOCABULARY, token_count
 
 CAPACITY, BUCKET_ROWS = 2048, 1 << 18
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     place = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("row", "piece"))
     numbered = pieces.withColumn("place", place).join(before, ["n_tokens", "bucket"]).select("doc_id", "piece", "token_start", "n_tokens", (F.col("before") + F.col("place") - 1).alias("number"))
     runs = plan({s: n for s, n in counts.items() if s > 0}, capacity)
-    return numbered.mapInArrow(lambda it: _assign(it, runs), f"doc_id {kind}, piece bigint, token_start bigint, n_tokens bigint, bin_id bigint, bin_start bigint")
+    return numbered.mapInArrow(lean(lambda it: _assign(it, runs)), f"doc_id {kind}, piece bigint, token_start bigint, n_tokens bigint, bin_id bigint, bin_start bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import pick, written
+from rankforge.llm.shared import lean, pick, written
 from rankforge.llm.textbytes import each_part, hash_word, hashed_words, lowered, pieces
 
 COMMON = {
@@ -85,7 +85,7 @@ def judge(docs: DataFrame, common: dict[str, list[str]] = COMMON, max_char: floa
     kind = docs.schema["doc_id"].dataType.simpleString()
     width = max(map(len, common.values()), default=0)
     rows = pick(docs, doc_id="doc_id", lang=F.col("lang").cast("string"), text="text")
-    counts = written(rows.mapInArrow(lambda it: _histograms(it, common), f"doc_id {kind}, lang string, chars array<bigint>, words array<bigint>"), "histograms")
+    counts = written(rows.mapInArrow(lean(lambda it: _histograms(it, common)), f"doc_id {kind}, lang string, chars array<bigint>, words array<bigint>"), "histograms")
     sums = lambda c, n: F.array(*[F.sum(F.element_at(c, i + 1)) for i in range(n)])
     reference = counts.where("lang is not null").groupBy("lang").agg(sums("chars", 6).alias("all_chars"), sums("words", width + 1).alias("all_words"))
     joined = counts.join(reference, "lang", "left")

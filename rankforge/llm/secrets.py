@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm.shared import pick
+from rankforge.llm.shared import lean, pick
 from rankforge.llm.textbytes import each_part
 from rankforge.llm.trigrams import Index, candidates, trigram_query, trigrams_of
 
@@ -84,7 +84,7 @@ def _scan(batches: Iterator[pa.RecordBatch], rules: dict[str, str]) -> Iterator[
 def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """(doc_id, rule, occurrence, secret_chars, sha256): every match, without the secret itself."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lambda it: _scan(it, rules), f"doc_id {kind}, rule string, occurrence bigint, secret_chars bigint, sha256 string")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(lambda it: _scan(it, rules)), f"doc_id {kind}, rule string, occurrence bigint, secret_chars bigint, sha256 string")
 
 
 def _redact(batches: Iterator[pa.RecordBatch], rules: dict[str, str], mask: str) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def _redact(batches: Iterator[pa.RecordBatch], rules: dict[str, str], mask: str)
 
 def redact(docs: DataFrame, rules: dict[str, str] = RULES, mask: str = "[secret]") -> DataFrame:
     """docs with every match replaced by `mask`; n_chars follows; documents without a match are untouched."""
-    return docs.mapInArrow(lambda it: _redact(it, rules, mask), docs.schema)
+    return docs.mapInArrow(lean(lambda it: _redact(it, rules, mask)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

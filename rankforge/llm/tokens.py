@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankforge.llm.shared import release
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a default; every operator takes the path as a parameter
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -28,6 +30,8 @@ def token_count(text: str = "text", vocabulary: str = VOCABULARY) -> Column:
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         bpe = tokenizer(vocabulary)
-        return pa.array([len(bpe.encode_ordinary(t.as_py() or "")) for t in texts], pa.int64())
+        found = pa.array([len(bpe.encode_ordinary(t.as_py() or "")) for t in texts], pa.int64())
+        release()
+        return found
 
     return count(F.col(text))
