@@ -21,6 +21,7 @@ from rankforge.functions import text as T
 from rankforge.functions.pages import remove_page_edges
 from rankforge.operators import analysis, bm25, chunking, dense, evaluation, preprocess, ranking
 from rankforge.plans.experiments import Runner, check_space, combinations
+from rankforge.plans.report import Analysis
 from rankforge.plans.retrieval import Retriever
 from rankforge.queries import _IDCG, B, BM25_SQL, EXPERIMENT_SQL, K, K1, LABEL_SQL, OVERLAP, RRF_K, SCORE_SQL, SIZE, TOKEN, TOP_N, WS, _chunked, _clean, _config, _lines, _ranked, _strip, _vectors, _words, benchmark, chunks, documents, experiments, register, table
 from rankforge.service import Service
@@ -647,3 +648,19 @@ def service_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = answer[field] if field else ""
         rows.append((step, status, str(len(value)) if isinstance(value, list) else str(value)))
     return spark.createDataFrame(rows, "step string, status int, value string")
+
+
+@register(f"""WITH {EXPERIMENT_SQL}, {SCORE_SQL}, best AS (SELECT chunking_strategy || ' chunking + ' || embedding_model || ' + ' || retriever || ' + ' || query_enhancement || ' + ' || reranker AS p FROM sc ORDER BY round(overall_score, 12) DESC, timestamp DESC, experiment_id LIMIT 1),
+some AS (SELECT * FROM sc ORDER BY experiment_id LIMIT 20)
+SELECT experiment_id, 'retriever' AS field, retriever AS value FROM some UNION ALL SELECT experiment_id, 'recall_at_k', printf('%.4f', round(recall_at_k, 6)) FROM some
+UNION ALL SELECT experiment_id, 'overall_score', printf('%.4f', round(overall_score, 9)) FROM some UNION ALL SELECT experiment_id, 'recommended_pipeline', p FROM some, best""")
+def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All experiments stored, the reports of twenty of them written as CSV, and four of the fields read again."""
+    root = storage.workspace(spark, "reports")
+    held = stores.ExperimentStore(spark, f"{root}/experiments")
+    for r in experiments(spark, sf_dir).toLocalIterator():
+        held.save(r.asDict() | {"timestamp": r.timestamp.isoformat()})
+    ids = [r.experiment_id for r in held.all().select("experiment_id").orderBy("experiment_id").limit(20).collect()]
+    made = Analysis(spark, f"{root}/experiments", Config({"reporting": {"reports_directory": f"{root}/csv", "include_json": False, "include_markdown": False}})).reports(ids)
+    rows = spark.read.option("header", True).csv([m["csv_path"] for m in made]).withColumn("experiment_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    return rows.where(F.col("field").isin("retriever", "recall_at_k", "overall_score", "recommended_pipeline")).select("experiment_id", "field", "value")
