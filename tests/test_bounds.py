@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankforge.config import Config
 from rankforge.functions import arrow
-from rankforge.operators import dense
+from rankforge.operators import bm25, dense
 
 
 def plan(df) -> str:
@@ -53,3 +53,12 @@ def test_products_that_are_not_numbers_are_left_out():
     best = dense._Nearest(pa.array([1]), np.array([[1.0, 0.0]]), 2)
     best.add(pa.array([1, 2, 3, 4]), np.array([[np.nan, 0], [0.5, 0], [0.25, 0], [0.75, 0]]))
     assert best.cut()[2].tolist() == [4, 2]
+
+
+def test_chunks_are_counted_in_pieces():
+    tokens = pa.array([["a", "b", "a"]] * 3000 + [None, []], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3002)), pa.array(np.arange(3002)), tokens], names=["chunk_id", "ordinal", "tokens"])
+    got = list(bm25._counted(iter([batch])))
+    assert max(b.num_rows for b in got) <= arrow.ROWS and sum(b.num_rows for b in got) == 3002
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["chunk_id"] for r in rows] == list(range(3002)) and all(sorted(zip(r["terms"], r["tfs"])) == [("a", 2), ("b", 1)] for r in rows[:3000]) and not rows[3000]["terms"] and not rows[3001]["terms"]
