@@ -4,9 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rankforge import queries
 from rankforge.config import Config
 from rankforge.functions import arrow
-from rankforge.operators import bm25, dense
+from rankforge.operators import bm25, chunking, dense
 
 
 def plan(df) -> str:
@@ -62,3 +63,14 @@ def test_chunks_are_counted_in_pieces():
     assert max(b.num_rows for b in got) <= arrow.ROWS and sum(b.num_rows for b in got) == 3002
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["chunk_id"] for r in rows] == list(range(3002)) and all(sorted(zip(r["terms"], r["tfs"])) == [("a", 2), ("b", 1)] for r in rows[:3000]) and not rows[3000]["terms"] and not rows[3001]["terms"]
+
+
+def test_similarities_shuffle_nothing(spark, sf_dir):
+    assert "Exchange" not in plan(queries.sentence_similarity(spark, sf_dir))
+
+
+def test_similarities_in_pieces():
+    bags = pa.array([[["a", "b"], ["a"], [], ["c"]], None, [], [["x"]], [["a", "b"], ["b", "a"]]] * 700, pa.list_(pa.list_(pa.string())))
+    assert len(list(arrow.pieces(arrow.lengths(bags), chunking.TOKENS))) > 1
+    got = chunking.neighbour_cosines.func(bags).to_pylist()
+    assert len(got) == 3500 and all(np.allclose(a, b) for a, b in zip(got, [[0.5**0.5, 0, 0], [], [], [], [1]] * 700))
