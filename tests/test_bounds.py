@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rankforge import queries
 from rankforge.config import Config
 from rankforge.functions import arrow
+from rankforge.functions import text as T
+from rankforge.functions.pages import remove_page_edges
 from rankforge.operators import bm25, chunking, dense
 
 
@@ -74,3 +76,17 @@ def test_similarities_in_pieces():
     assert len(list(arrow.pieces(arrow.lengths(bags), chunking.TOKENS))) > 1
     got = chunking.neighbour_cosines.func(bags).to_pylist()
     assert len(got) == 3500 and all(np.allclose(a, b) for a, b in zip(got, [[0.5**0.5, 0, 0], [], [], [], [1]] * 700))
+
+
+def test_texts_that_need_no_python_are_null_to_it(spark):
+    rows = spark.createDataFrame([("plain",), ("ﬁ",), (None,), ("",)], "text string").repartition(1)
+    for f, mark in ((T.normalize_unicode, "_nfkc"), (lambda t: remove_page_edges(F.col(t)), "edges")):
+        nodes = [line for line in plan(rows.select(f("text").alias("t"))).splitlines() if "ArrowEvalPython" in line]
+        assert nodes and all(f"{mark}(_groupingexpression" in n or f"{mark}(CASE WHEN" in n for n in nodes)
+    assert [r.t for r in rows.select(T.normalize_unicode("text").alias("t")).collect()] == ["plain", "fi", None, ""]
+
+
+def test_texts_mapped_in_pieces():
+    texts = pa.array(["x" * (arrow.BYTES // 2 + 1), None, "é", "", "y" * (arrow.BYTES + 1)])
+    assert arrow.mapped(texts, str.upper).to_pylist() == [t and t.upper() for t in texts.to_pylist()]
+    assert arrow.mapped(texts.slice(1, 2), str.upper).to_pylist() == [None, "É"] and not len(arrow.mapped(texts.slice(0, 0), str.upper))
