@@ -90,3 +90,27 @@ def test_texts_mapped_in_pieces():
     texts = pa.array(["x" * (arrow.BYTES // 2 + 1), None, "é", "", "y" * (arrow.BYTES + 1)])
     assert arrow.mapped(texts, str.upper).to_pylist() == [t and t.upper() for t in texts.to_pylist()]
     assert arrow.mapped(texts.slice(1, 2), str.upper).to_pylist() == [None, "É"] and not len(arrow.mapped(texts.slice(0, 0), str.upper))
+
+
+def test_products_in_single_precision_first():
+    """The best are those of double precision, whatever single precision makes of near ties, large and infinite numbers."""
+    rng = np.random.default_rng(5)
+    d = rng.normal(size=(3000, 16))
+    d[100:160] = d[7] * (1 + np.arange(60)[:, None] * 1e-10)  # closer than single precision can tell
+    d[200:230] = d[9]
+    for scale in (1.0, 1e6, 1e20):
+        q, x = d[:50] * scale, d * scale
+        best = dense._Nearest(pa.array(np.arange(50)), q, 40)
+        assert (best.short is None) if scale > 1e15 else best.short.dtype == np.float32
+        for a in range(0, 3000, 700):
+            best.add(pa.array(np.arange(a, min(a + 700, 3000))), x[a : a + 700], 16)
+        r, s, k = best.cut()
+        exact = np.round(np.round(q @ x.T, 12), 9)
+        assert len(r) == 50 * 40
+        for i in range(50):
+            if scale == 1.0:
+                assert k[r == i].tolist() == sorted(range(3000), key=lambda j: (-exact[i, j], j))[:40]
+            assert np.allclose(np.sort(s[r == i]), np.sort(exact[i])[-40:], rtol=1e-12)
+    best = dense._Nearest(pa.array([1]), np.array([[1.0, 0.0]]), 1)
+    best.add(pa.array(["a", "b"]), np.array([[np.inf, 0.5], [2.0, 0]]))
+    assert best.cut()[0].tolist() == [0]
