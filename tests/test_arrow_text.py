@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import arrow
 from rankforge.functions import text as T
+from rankforge.operators import bm25
 
 
 def test_words_of_pieces():
@@ -16,6 +17,16 @@ def test_words_of_pieces():
     assert sizes.tolist() == [len(w) for w in want] and [words[c].as_py() for c in code] == sum(want, [])
 
 
+def test_terms_shuffle_only_their_counts(spark):
+    rows = [(1, "aa Bb bb"), (2, "aa"), (2, "aa cc"), (3, None), (None, "aa dd"), (None, "dd"), (4, "")]
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    got = {r.term: (r.tf, r.df) for r in bm25.term_counts(docs, "id").collect()}
+    assert got == {"aa": (4, 2), "bb": (2, 1), "cc": (1, 1), "dd": (2, 0)}  # as count(DISTINCT id), which counts no null
+    once = bm25.term_counts(spark.range(50).select("id", F.lit("aa bb").alias("text")), "id")
+    exchanges = [x for x in once._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert len(exchanges) == 1 and "term" in exchanges[0] and "id#" not in exchanges[0]
+
+
 def test_cleaning_in_arrow(spark):
     rows = [("a \t b\t c", "a b c"), (" a\r\n\r\n  b \x85 c ", "a\n\nb\nc"), ("a . b", "a.b"), ("x @　y , z", "x@y, z"), ("1 - 2 - 3", "1-2 - 3"), ("http : / / a / b", "https://a/b"), ("\n \n", ""), (None, None)]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
