@@ -268,3 +268,20 @@ def test_streaming(spark, tmp_path):
         streaming.start(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp"), c, available_now=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 4 and got.agg(F.count_distinct("document_id")).first()[0] == 2
+
+
+def test_runs_share_an_index(spark, corpus, monkeypatch):
+    """Settings of the search alone build no index anew; settings of the index do, and the last is given up at the end."""
+    from rankforge.plans.retrieval import Retriever
+
+    built, of = [], Retriever.build
+    monkeypatch.setattr(Retriever, "build", lambda self, *args: built.append(self.kind) or of(self, *args))
+    at, data, runner = str(corpus / "corpus"), str(corpus / "dataset.json"), Runner(spark, str(corpus / "experiments"), mode="batch")
+    with runner:
+        runs = runner.sweep(config(corpus), at, data, {"index.bm25.k1": [0.9, 2.0], "retrieval.top_k": [1, 2]})
+        runs += runner.ablation(config(corpus), at, data, {"dense": {"retrieval.retriever": "dense"}, "top1": {"retrieval.top_k": 1}})
+    assert built == ["bm25", "dense", "bm25"] and [r["top_k"] for r in runs] == [2, 2, 1, 2, 2, 2, 1]
+    assert len({r["index_build_time_ms"] for r in runs}) == 3 and runner._built is None
+    alone = runner.run(config(corpus).with_overrides({"index.bm25.k1": 2.0}), at, data)
+    same = ("precision_at_k", "recall_at_k", "mean_reciprocal_rank", "ndcg_at_k")
+    assert [alone[m] for m in same] == [runs[1][m] for m in same] and [r["retrieved"] for r in alone["query_results"]] == [r["retrieved"] for r in runs[1]["query_results"]]
