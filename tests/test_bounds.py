@@ -114,3 +114,24 @@ def test_products_in_single_precision_first():
     best = dense._Nearest(pa.array([1]), np.array([[1.0, 0.0]]), 1)
     best.add(pa.array(["a", "b"]), np.array([[np.inf, 0.5], [2.0, 0]]))
     assert best.cut()[0].tolist() == [0]
+
+
+def test_equal_vectors_do_not_pile_up(monkeypatch):
+    most, cut = [0], dense._Nearest.cut
+    monkeypatch.setattr(dense._Nearest, "cut", lambda self: most.append(self.pending) or cut(self))
+    best = dense._Nearest(pa.array(np.arange(2000)), np.ones((2000, 2)), 3)
+    for keys in (np.arange(4096)[::-1] + 10, np.arange(4096)):
+        best.add(pa.array(keys), np.ones((4096, 2)))
+    r, s, k = best.cut()
+    assert max(most) < 1 << 21
+    assert k.tolist() == [0, 1, 2] * 2000 and (s == 2).all()
+
+
+def test_vectors_are_normalised_where_products_are_taken(spark):
+    v = spark.range(300).select(F.col("id").alias("chunk_id"), F.when(F.col("id") > 0, F.array(*[F.sin(F.col("id") * (i + 1)).cast("float") for i in range(3)])).alias("vector"))
+    v = v.union(spark.sql("SELECT 300L, array(0f, 0f, 0f)")).cache()
+    unit = v.select("chunk_id", dense.l2_normalize("vector").alias("vector"))
+    for rows in (None, 64):
+        got, want = (dense.search(d, d.withColumnRenamed("chunk_id", "query_id"), 4, exclude_self=True, rows=rows, **x) for d, x in ((v, {"normalize": True}), (unit, {})))
+        assert "aggregate(" not in plan(got)
+        assert [(r.query_id, r.chunk_id, round(r.score, 9)) for r in got.orderBy("query_id", "rank").collect()] == [(r.query_id, r.chunk_id, round(r.score, 9)) for r in want.orderBy("query_id", "rank").collect()]
